@@ -3,8 +3,6 @@ or fails its check character. Every function takes and gives a string column."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +16,12 @@ def present(c: Column) -> Column:
     return F.when(F.lower(t).isin(*SENTINELS) | t.rlike(r"^[0\s\-.]+$"), None).otherwise(t)
 
 
-def _digit(c: Column, i: int) -> Column:
-    return F.substring(c, i, 1).try_cast("int")
+def _checks() -> Column:
+    return F.split(F.lit("0123456789X"), "")
+
+
+def _digits(c: Column) -> Column:
+    return F.transform(F.split(c, ""), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
 
 
 def ppn(c: Column) -> Column:
@@ -27,9 +29,9 @@ def ppn(c: Column) -> Column:
     t = F.upper(F.regexp_replace(F.regexp_replace(present(c), r"(?i)^\s*(\(?idref\)?|ppn)[\s:/]*", ""), r"\.0$", ""))
     t = F.regexp_replace(t, r"[\s\-]", "")
     t = F.when(t.rlike("^[0-9]{8}[0-9X]$") & ~t.rlike("^0+$"), t)
-    s = reduce(lambda a, b: a + b, [_digit(t, i) * F.lit(10 - i) for i in range(1, 9)])
-    check = (F.lit(11) - s % 11) % 11
-    return F.when(F.substring(t, 9, 1) == F.when(check == 10, "X").otherwise(check.cast("string")), t)
+    weighted = F.transform(_digits(F.substring(t, 1, 8)), lambda x, i: x * (F.lit(9) - i))
+    check = F.aggregate(weighted, F.lit(0), lambda s, x: s + x, lambda s: (F.lit(11) - s % 11) % 11)
+    return F.when(F.substring(t, 9, 1) == F.element_at(_checks(), check + 1), t)
 
 
 def viaf(c: Column) -> Column:
@@ -42,11 +44,8 @@ def viaf(c: Column) -> Column:
 
 def _mod11_2(t: Column) -> Column:
     """t (16 characters) where its ISO 7064 mod 11-2 check character is right, else null."""
-    s = F.lit(0)
-    for i in range(1, 16):
-        s = ((s + _digit(t, i)) * 2) % 11
-    check = (F.lit(12) - s) % 11
-    return F.when(F.substring(t, 16, 1) == F.when(check == 10, "X").otherwise(check.cast("string")), t)
+    check = F.aggregate(_digits(F.substring(t, 1, 15)), F.lit(0), lambda s, x: ((s + x) * 2) % 11, lambda s: (F.lit(12) - s) % 11)
+    return F.when(F.substring(t, 16, 1) == F.element_at(_checks(), check + 1), t)
 
 
 def isni(c: Column) -> Column:
