@@ -11,6 +11,7 @@ from .bpe import encode_texts
 from .components import low_diameter, shared_value_edges
 from .packing import pack
 from .survivors import survive
+from .truncation import judge, shares
 
 
 def identifier_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +39,14 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "conteneurs"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return judge(table(spark, d, "documents")).where("odds > 0").select("doc_id").distinct()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(judge(table(spark, d, "documents")))
+
+
 _GROUPS = r"""
 WITH RECURSIVE clean AS (
   SELECT id, date_modified,
@@ -61,7 +70,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 grp AS (SELECT a AS id, min(least(a, b)) AS group_id FROM reach GROUP BY a)
 """
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL = {
     "p6_found": _GROUPS + "SELECT id, group_id FROM grp",
     "p1_found": _GROUPS + """SELECT g.group_id AS id,
