@@ -9,6 +9,7 @@ from ..functions import identifiers as I
 from ..session import table
 from .bpe import encode_texts
 from .components import low_diameter, shared_value_edges
+from .ocr import continuous, repairs
 from .packing import pack
 from .survivors import survive
 from .truncation import judge, shares
@@ -39,6 +40,15 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "conteneurs"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repairs(table(spark, d, "corpus_propre")).select("doc_id", "idx")
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    corpus = table(spark, d, "corpus_propre")
+    return continuous(corpus, repairs(corpus))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return judge(table(spark, d, "documents")).where("odds > 0").select("doc_id").distinct()
 
@@ -70,7 +80,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 grp AS (SELECT a AS id, min(least(a, b)) AS group_id FROM reach GROUP BY a)
 """
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL = {
     "p6_found": _GROUPS + "SELECT id, group_id FROM grp",
     "p1_found": _GROUPS + """SELECT g.group_id AS id,
