@@ -9,6 +9,7 @@ from ..functions import identifiers as I
 from ..session import table
 from .bpe import encode_texts
 from .components import low_diameter, shared_value_edges
+from .near_duplicates import groups, pairs_of
 from .ocr import continuous, repairs
 from .packing import pack
 from .survivors import survive
@@ -32,6 +33,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survive(rows, {"orcid": I.orcid(F.col("orcid")), "PPN_IDREF": I.ppn(F.col("PPN_IDREF"))})
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(groups(table(spark, d, "reference")))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups(table(spark, d, "reference"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
@@ -80,7 +89,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 grp AS (SELECT a AS id, min(least(a, b)) AS group_id FROM reach GROUP BY a)
 """
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL = {
     "p6_found": _GROUPS + "SELECT id, group_id FROM grp",
     "p1_found": _GROUPS + """SELECT g.group_id AS id,
