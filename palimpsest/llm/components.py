@@ -25,39 +25,51 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def _grow(sym: DataFrame, beta: float, level: int) -> DataFrame:
-    """Clusters (v, centre) of one level."""
+def _relax(sym: DataFrame, state: DataFrame) -> DataFrame:
+    """Every vertex takes the best offer of the neighbours that changed last."""
+    front = state.where("moved").select(F.col("v").alias("a"), "score", "centre")
+    offers = sym.join(front, "a").groupBy(F.col("b").alias("v")).agg(F.min(F.struct((F.col("score") + 1).alias("score"), "centre")).alias("o"))
+    better = F.coalesce(F.col("o.score") < F.col("score"), F.lit(False))
+    return state.join(offers, "v", "left").select(
+        "v", F.when(better, F.col("o.score")).otherwise(F.col("score")).alias("score"),
+        F.when(better, F.col("o.centre")).otherwise(F.col("centre")).alias("centre"), better.alias("moved"),
+    )
+
+
+def _grow(sym: DataFrame, beta: float, level: int, steps: int = 3) -> DataFrame:
+    """Clusters (v, centre) of one level. The lineage is cut once in `steps` relaxations."""
     u = (F.pmod(F.xxhash64("v", F.lit(level)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    state = cut(sym.select(F.col("a").alias("v")).distinct().select("v", (F.log(u) / beta).alias("score"), F.col("v").alias("centre"), F.lit(True).alias("moved")))
+    state = sym.select(F.col("a").alias("v")).distinct().select("v", (F.log(u) / beta).alias("score"), F.col("v").alias("centre"), F.lit(True).alias("moved"))
     while True:
-        front = state.where("moved").select(F.col("v").alias("a"), "score", "centre")
-        offers = sym.join(front, "a").groupBy(F.col("b").alias("v")).agg(F.min(F.struct(F.col("score") + 1, F.col("centre"))).alias("o"))
-        better = F.coalesce(F.col("o.col1") < F.col("score"), F.lit(False))
-        state = cut(state.join(offers, "v", "left").select(
-            "v", F.when(better, F.col("o.col1")).otherwise(F.col("score")).alias("score"),
-            F.when(better, F.col("o.centre")).otherwise(F.col("centre")).alias("centre"), better.alias("moved"),
-        ))
+        for _ in range(steps):
+            state = _relax(sym, state)
+        state = cut(state)
         if state.where("moved").isEmpty():
             return state.select("v", "centre")
 
 
-def low_diameter(edges: DataFrame, beta: float = 0.3, max_levels: int = 60) -> DataFrame:
+def low_diameter(edges: DataFrame, beta: float = 0.2, max_levels: int = 60) -> DataFrame:
     sym = cut(_both_ways(edges))
-    whole = None
-    for level in range(max_levels):
-        at = _grow(sym, beta, level)
-        whole = at if whole is None else cut(whole.join(at.select(F.col("v").alias("centre"), F.col("centre").alias("next")), "centre", "left").select("v", F.coalesce("next", "centre").alias("centre")))
+    levels: list[DataFrame] = []
+    while not sym.isEmpty():
+        if len(levels) == max_levels:
+            raise RuntimeError("the decomposition did not end; raise max_levels")
+        at = _grow(sym, beta, len(levels))
+        levels.append(at)
         sym = cut(
             sym.join(at.select(F.col("v").alias("a"), F.col("centre").alias("ca")), "a")
             .join(at.select(F.col("v").alias("b"), F.col("centre").alias("cb")), "b")
             .where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         )
-        if sym.isEmpty():
-            break
-    else:
-        raise RuntimeError("the decomposition did not end; raise max_levels")
-    least = whole.groupBy("centre").agg(F.min("v").alias("group_id"))
-    return whole.join(least, "centre").select(F.col("v").alias("id"), "group_id")
+    if not levels:
+        return edges.sparkSession.createDataFrame([], "id bigint, group_id bigint")
+    # from the last level down: the super-vertices of a level are vertices of the next, if they still have edges
+    top = levels.pop()
+    while levels:
+        below = levels.pop()
+        top = below.join(top.select(F.col("v").alias("centre"), F.col("centre").alias("next")), "centre", "left").select("v", F.coalesce("next", "centre").alias("centre"))
+    least = top.groupBy("centre").agg(F.min("v").alias("group_id"))
+    return top.join(least, "centre").select(F.col("v").alias("id"), "group_id")
 
 
 def alternating_stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
