@@ -25,10 +25,11 @@ def _digits(c: Column) -> Column:
 
 
 def ppn(c: Column) -> Column:
-    """IdRef number: eight digits and a check character modulo 11, weights 9 to 2."""
+    """IdRef number: eight digits and a check character modulo 11, weights 9 to 2. One that was kept as a
+    number may lack up to two leading zeros."""
     t = F.upper(F.regexp_replace(F.regexp_replace(present(c), r"(?i)^\s*(\(?idref\)?|ppn)[\s:/]*", ""), r"\.0$", ""))
     t = F.regexp_replace(t, r"[\s\-]", "")
-    t = F.when(t.rlike("^[0-9]{8}[0-9X]$") & ~t.rlike("^0+$"), t)
+    t = F.when(t.rlike("^[0-9]{6,8}[0-9X]$") & ~t.rlike("^0+$"), F.lpad(t, 9, "0"))
     weighted = F.transform(_digits(F.substring(t, 1, 8)), lambda x, i: x * (F.lit(9) - i))
     check = F.aggregate(weighted, F.lit(0), lambda s, x: s + x, lambda s: (F.lit(11) - s % 11) % 11)
     return F.when(F.substring(t, 9, 1) == F.element_at(_checks(), check + 1), t)
