@@ -74,7 +74,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 _GROUPS = r"""
 WITH RECURSIVE clean AS (
   SELECT id, date_modified,
-    regexp_replace(regexp_replace(upper(regexp_replace(trim(PPN_IDREF), '(?i)^(\(?idref\)?|ppn)[\s:/]*', '')), '\.0$', ''), '[\s\x{00a0}-]', '', 'g') AS p,
+    regexp_replace(regexp_replace(upper(regexp_replace(trim(PPN_IDREF), '(?i)^(\(?idref\)?|ppn)[\s:/]*', '')), '\.0$', ''), '[\s\x{00a0}-]', '', 'g') AS p0, CASE WHEN length(p0) BETWEEN 7 AND 8 THEN lpad(p0, 9, '0') ELSE p0 END AS p,
     regexp_replace(regexp_replace(regexp_replace(trim(PPN_VIAF, ' ' || chr(160)), '(?i)^viaf[\s:/]*', ''), '/+$', ''), '\.0$', '') AS v,
     regexp_replace(regexp_replace(upper(trim(orcid, ' ' || chr(160))), '^ORCID[\s:/]*', ''), '[\s\x{2010}-\x{2015}-]', '', 'g') AS o
   FROM authors),
