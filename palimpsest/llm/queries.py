@@ -10,6 +10,7 @@ from ..session import table
 from . import names
 from .bpe import encode_texts
 from .components import low_diameter, shared_value_edges
+from .linkage import link
 from .near_duplicates import groups, pairs_of
 from .ocr import continuous, repairs
 from .packing import pack
@@ -50,6 +51,14 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), table(spark, d, "conteneurs"))
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return link(*[table(spark, d, t) for t in ("reference", "ecriture", "authors", "jstor_meta")])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_links(spark, d).select("reference_id", "item_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.people(table(spark, d, "authors")))
 
@@ -94,7 +103,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 grp AS (SELECT a AS id, min(least(a, b)) AS group_id FROM reach GROUP BY a)
 """
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL = {
     "p6_found": _GROUPS + "SELECT id, group_id FROM grp",
     "p1_found": _GROUPS + """SELECT g.group_id AS id,
