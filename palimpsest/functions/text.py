@@ -195,7 +195,7 @@ def name_parts(c: Column) -> Column:
 
 def split_names(c: Column) -> Column:
     """Names joined by an ampersand, those of one letter dropped."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, "&amp;", "&"), "&"), F.trim), lambda x: F.length(x) > 1)
+    return F.filter(F.transform(F.split(F.regexp_replace(c, "&amp;", "&"), "&"), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
 
 
 def clean_title(c: Column) -> Column:

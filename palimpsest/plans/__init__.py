@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import orphan_links
+    from . import orphan_links, series
 
-    return [orphan_links]
+    return [series, orphan_links]
 
 
 def queries() -> dict:
