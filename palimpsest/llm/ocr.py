@@ -24,10 +24,12 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import osa
 from ..session import cut, spread
 
 # Characters and groups that scanners take for each other.
@@ -46,30 +48,47 @@ QUOTES = {"“", "„", "«", "‘", "‹", '"'}
 START, END, NUMBER, NULL = "\x02", "\x03", "<n>", "\x00"
 
 
+_BY_END: dict[tuple[str, str], list[tuple[str, str]]] = {}
+for _x, _y in CONFUSIONS:
+    _BY_END.setdefault((_x[-1], _y[-1]), []).append((_x, _y))
+
+
 def edit_distance(a: str, b: str, limit: float) -> float:
     """Weighted distance from the right form a to the read form b; limit + 1 beyond the limit."""
     if abs(len(a) - len(b)) > 2 * limit + 2:
         return limit + 1
     n, m = len(a), len(b)
-    d = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i == j == 0:
-                continue
-            best = 1e9
-            if i:
-                best = d[i - 1][j] + 1
-            if j:
-                best = min(best, d[i][j - 1] + (0.6 if j > 1 and b[j - 1] == b[j - 2] else 1))
-            if i and j:
-                best = min(best, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    best = min(best, d[i - 2][j - 2] + 1)
-                for x, y in CONFUSIONS:
-                    if i >= len(x) and j >= len(y) and a[i - len(x) : i] == x and b[j - len(y) : j] == y:
-                        best = min(best, d[i - len(x)][j - len(y)] + 0.3)
-            d[i][j] = best
-    return min(d[n][m], limit + 1)
+    rows = [[j * 1.0 for j in range(m + 1)]]
+    for j in range(2, m + 1):
+        if b[j - 1] == b[j - 2]:
+            rows[0][j] = rows[0][j - 1] + 0.6
+    least = [0.0]
+    get = _BY_END.get
+    for i in range(1, n + 1):
+        above, x, row = rows[-1], a[i - 1], [i * 1.0] + [0.0] * m
+        for j in range(1, m + 1):
+            y = b[j - 1]
+            if x == y:
+                best = above[j - 1]
+            else:
+                best = above[j - 1] + 1
+            v = above[j] + 1
+            if v < best:
+                best = v
+            v = row[j - 1] + (0.6 if j > 1 and y == b[j - 2] else 1)
+            if v < best:
+                best = v
+            if x != y and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and rows[i - 2][j - 2] + 1 < best:
+                best = rows[i - 2][j - 2] + 1
+            for p, q in get((x, y), ()):
+                if i >= len(p) and j >= len(q) and a[i - len(p) : i] == p and b[j - len(q) : j] == q and rows[i - len(p)][j - len(q)] + 0.3 < best:
+                    best = rows[i - len(p)][j - len(q)] + 0.3
+            row[j] = best
+        rows.append(row)
+        least.append(min(row))
+        if i > 1 and least[-1] > limit and least[-2] > limit:
+            return limit + 1
+    return min(rows[n][m], limit + 1)
 
 
 def _value(t: str) -> int:
@@ -87,13 +106,20 @@ def _value(t: str) -> int:
     return 0
 
 
+@lru_cache(1 << 17)
+def _canon(t: str) -> str:
+    return t.casefold().translate(CANON)
+
+
+@lru_cache(1 << 18)
 def _like(a: str, b: str) -> bool:
-    a, b = a.casefold().translate(CANON), b.casefold().translate(CANON)
+    a, b = _canon(a), _canon(b)
     if a == b:
         return True
     if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1 + max(len(a), len(b)) // 8:
         return False
-    return edit_distance(a, b, 2) <= (1 if len(a) < 10 else 2)
+    limit = 1 if len(a) < 10 else 2
+    return osa(a, b, limit) <= limit or (a[0] == b[0] and a[-1] == b[-1] and edit_distance(a, b, limit) <= limit)
 
 
 def title_words(title: str | None) -> list[str]:
@@ -207,8 +233,8 @@ def furniture(tokens: list, title: str | None, counts: dict[int, tuple]) -> set[
         if not keep and pages and all(u[2] == "number" for u in c):
             continue
         out += [u for u in c if u in keep or not u[3]]
-    names = {tokens[u[1] - 1].casefold().translate(CANON) for u in out if u[2] in ("name", "capitals")}
-    out += [u for c in rest for u in c if u[2] == "name" and tokens[u[1] - 1].casefold().translate(CANON) in names]
+    names = {_canon(tokens[u[1] - 1]) for u in out if u[2] in ("name", "capitals")}
+    out += [u for c in rest for u in c if u[2] == "name" and _canon(tokens[u[1] - 1]) in names]
     return {i for u in out for i in range(u[0], u[1])}
 
 
