@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import orphan_links, series
+    from . import entities, orphan_links, series
 
-    return [series, orphan_links]
+    return [series, entities, orphan_links]
 
 
 def queries() -> dict:

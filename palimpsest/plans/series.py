@@ -9,19 +9,10 @@ from ..functions import text as T
 from ..functions.identifiers import present
 from ..operators import tabular as O
 from ..session import table
+from .registry import Registry
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 
 
 def year_of(c: str):
