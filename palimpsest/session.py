@@ -28,9 +28,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, without its lineage. The files survive the loss of
-    an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    an executor. A checkpoint keeps the estimated size and the constraints of its plan, which over the rounds
+    of a loop grow to numbers of millions of digits; so the result is made anew from the rows alone, and joins
+    are planned from measured sizes at run time."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
