@@ -226,7 +226,7 @@ def leading_eigenvalue(edges: DataFrame, rounds: int = 100) -> float:
 
 def katz(edges: DataFrame, part: float = 0.85, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """(id, katz), unweighted, alpha = part / leading eigenvalue, of length one."""
-    top = leading_eigenvalue(edges)
+    top = leading_eigenvalue(edges, min(rounds, 100))
     alpha = part / top if top else 0.0
     at = _power(edges.select("u", "v").withColumn("weight", F.lit(1.0)), 0.0, lambda d, n: d.select("id", "old", (alpha * F.col("s") + 1.0).alias("x")), rounds, tolerance)
     norm = F.broadcast(at.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))  # one row
@@ -254,14 +254,14 @@ def entry_periods(pairs: DataFrame, period: str, values: list, start, least: int
         new = pairs.where(F.col(period) == F.lit(t)).select("u", "v")
         e = new if labels is None else new.unionAll(labels.where("id <> component").select(F.col("component").alias("u"), F.col("id").alias("v")))
         labels = cut(components(e))
-        if t < start:
-            continue
-        lcc = cut(largest_component(labels))
-        if lcc.count() < least and out is None:
-            continue
-        come = lcc.withColumn(period, F.lit(t))
-        out = come if out is None else cut(out.unionAll(come.join(out, "id", "left_anti")))
-    return out if out is not None else pairs.select(F.col("u").alias("id"), period).limit(0)
+        if t >= start:
+            lcc = largest_component(labels)
+            size = F.broadcast(lcc.agg(F.count("*").alias("_n")))  # one row
+            come = cut(lcc.crossJoin(size).where(F.col("_n") >= least).select("id", F.lit(t).alias(period)))
+            out = come if out is None else out.unionAll(come)
+    if out is None:
+        return pairs.select(F.col("u").alias("id"), period).limit(0)
+    return out.groupBy("id").agg(F.min(period).alias(period))
 
 
 def partners(links: DataFrame, unit: str, over: str) -> DataFrame:

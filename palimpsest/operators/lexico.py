@@ -54,8 +54,8 @@ def tfidf(counts: DataFrame, doc: str, term: str, least: int = 3) -> DataFrame:
     """(doc, term, tfidf): raw frequency times ln((1+N)/(1+df))+1, rows of length one. N counts the documents
     that have a term."""
     df = counts.groupBy(term).agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    n = counts.agg(F.count_distinct(doc).alias("N"))
-    w = counts.join(df, term).crossJoin(F.broadcast(n)).select(doc, term, (F.col("n") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row is broadcast
+    n = counts.agg(F.count_distinct(doc).alias("docs"))
+    w = counts.join(df, term).crossJoin(F.broadcast(n)).select(doc, term, (F.col("n") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row is broadcast
     norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, doc).select(doc, term, (F.col("w") / F.col("norm")).alias("tfidf"))
 
@@ -102,11 +102,11 @@ def progression(df: DataFrame, group: str, doc: str, term: str, wanted: list[str
 def pmi(df: DataFrame, doc: str, least: int = 4, floor: float = 20.0, rare: float = 0.999) -> DataFrame:
     """(a, b, n, pmi): neighbours that stand together far more than alone, the rarer of common words left out."""
     uni = df.groupBy("token").agg(F.count("*").alias("n"))
-    total = F.broadcast(uni.agg(F.sum("n").alias("N"), F.percentile("n", F.lit(rare)).alias("cut")))  # one row
+    total = F.broadcast(uni.agg(F.sum("n").alias("whole"), F.percentile("n", F.lit(rare)).alias("cut")))  # one row
     bi = bigrams(df, doc).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     d = bi.join(uni.select(F.col("token").alias("a"), F.col("n").alias("na")), "a").join(uni.select(F.col("token").alias("b"), F.col("n").alias("nb")), "b").crossJoin(total)
     d = d.where(F.least("na", "nb") <= F.col("cut"))
-    return d.select("a", "b", "n", F.log2(F.col("n") * F.col("N") / (F.col("na") * F.col("nb"))).alias("pmi")).where(F.col("pmi") >= floor)
+    return d.select("a", "b", "n", F.log2(F.col("n") * F.col("whole") / (F.col("na") * F.col("nb"))).alias("pmi")).where(F.col("pmi") >= floor)
 
 
 def hyphen_candidates(df: DataFrame, doc: str) -> DataFrame:

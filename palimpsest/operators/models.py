@@ -110,7 +110,7 @@ def jenks_periods(counts: DataFrame, year: str, n: str, k: int | None = None) ->
         return pd.DataFrame(out, columns=["period", "first", "last"])
 
     per = counts.groupBy(F.col(year).cast("int").alias("y")).agg(F.sum(n).cast("double").alias("n")).where("y IS NOT NULL")
-    return per.groupBy(F.lit(1)).applyInPandas(run, "period int, first int, last int")
+    return per.groupBy().applyInPandas(run, "period int, first int, last int")
 
 
 def breaks(series: DataFrame, group: str, order: str, value: str, penalty: float = 15.0) -> DataFrame:
@@ -137,7 +137,7 @@ def ward(centroids: DataFrame, key: str, vector: str, k: int, limit: int = 4000)
         pdf = pdf.sort_values("k")
         return pd.DataFrame({"k": pdf["k"], "cluster": ward_labels(list(pdf["v"]), k)})
 
-    return centroids.select(F.col(key).cast("bigint").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).groupBy(F.lit(1)).applyInPandas(run, "k bigint, cluster int").withColumnRenamed("k", key)
+    return centroids.select(F.col(key).cast("bigint").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).groupBy().applyInPandas(run, "k bigint, cluster int").withColumnRenamed("k", key)
 
 
 def lda(docs: DataFrame, key: str, terms: str, k: int, seed: int = 1826, passes: int = 20, least: int = 2, size: int = 1 << 16):

@@ -18,7 +18,7 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 # tokens of the annotated corpus, in DuckDB
-_TOK = "tok AS (SELECT doc_id, year, f.token AS token, f.lemma AS lemma, f.pos AS pos, i - 1 AS at FROM (SELECT doc_id, year, unnest(lexical_features) AS f, generate_subscripts(lexical_features, 1) AS i FROM corpus_propre))"
+_TOK = "tok AS (SELECT doc_id, year, f.token AS token, f.lemma AS lemma, f.pos AS pos, i - 1 AS pl FROM (SELECT doc_id, year, unnest(lexical_features) AS f, generate_subscripts(lexical_features, 1) AS i FROM corpus_propre))"
 _LEM = "lem AS (SELECT doc_id, year, lower(lemma) AS term FROM tok WHERE regexp_matches(lemma, '^\\p{L}+$') AND length(lemma) >= 3 AND pos NOT IN ('PUNCT', 'NUM', 'SPACE', 'SYM', 'X'))"
 _WORD = "word AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents)"
 
@@ -100,7 +100,7 @@ def term_rate_per_million(spark: SparkSession, d: str) -> DataFrame:
     return L.progression(y, "year", "doc_id", "t", ["frontier", "barbarian", "treaty"])
 
 
-@query(f"""WITH {_TOK}, u AS (SELECT token, count(*) AS n FROM tok WHERE token IS NOT NULL GROUP BY 1), b AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY at) AS b FROM tok), p AS (SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4),
+@query(f"""WITH {_TOK}, u AS (SELECT token, count(*) AS n FROM tok WHERE token IS NOT NULL GROUP BY 1), b AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pl) AS b FROM tok), p AS (SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4),
 s AS (SELECT p.a, p.b, p.n, log2(p.n::double * (SELECT sum(n) FROM u) / (x.n::double * y.n)) AS pmi FROM p JOIN u x ON x.token = p.a JOIN u y ON y.token = p.b WHERE least(x.n, y.n) <= (SELECT quantile_cont(n, 0.999) FROM u))
 SELECT a, b, n, round(pmi, 6) AS pmi FROM s WHERE pmi >= 8""")
 def bigram_pmi(spark: SparkSession, d: str) -> DataFrame:
@@ -111,13 +111,13 @@ _HY = "[-‐‑‒–—⁃]"
 _ORD = "'first','second','third','fourth','fifth','sixth','seventh','eighth','ninth','tenth','eleventh','twelfth','thirteenth','fourteenth','fifteenth','sixteenth','seventeenth','eighteenth','nineteenth','twentieth'"
 
 
-@query(f"""WITH {_TOK}, b AS (SELECT doc_id, at, token AS t1, lead(token) OVER (PARTITION BY doc_id ORDER BY at) AS t2 FROM tok), c AS (SELECT *, regexp_replace(t1, '{_HY}$', '') AS s FROM b WHERE regexp_matches(t1, '^.+{_HY}$') AND regexp_matches(t2, '^[a-zA-ZÀ-ÿ]'))
-SELECT doc_id, at::int AS at_, t1, t2, s || t2 AS merged FROM c WHERE NOT (ends_with(lower(s), 'eenth') OR lower(s) = 'anglo' OR (lower(s) IN ({_ORD}) AND lower(t2) IN ({_ORD}, 'century')))""")
+@query(f"""WITH {_TOK}, b AS (SELECT doc_id, pl, token AS t1, lead(token) OVER (PARTITION BY doc_id ORDER BY pl) AS t2 FROM tok), c AS (SELECT *, regexp_replace(t1, '{_HY}$', '') AS s FROM b WHERE regexp_matches(t1, '^.+{_HY}$') AND regexp_matches(t2, '^[a-zA-ZÀ-ÿ]'))
+SELECT doc_id, pl::int AS at_, t1, t2, s || t2 AS merged FROM c WHERE NOT (ends_with(lower(s), 'eenth') OR lower(s) = 'anglo' OR (lower(s) IN ({_ORD}) AND lower(t2) IN ({_ORD}, 'century')))""")
 def hyphen_merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     return L.hyphen_candidates(toks(spark, d), "doc_id").withColumnRenamed("at", "at_")
 
 
-@query(f"""WITH {_TOK}, b AS (SELECT doc_id, at, token AS t1, lead(token) OVER (PARTITION BY doc_id ORDER BY at) AS t2 FROM tok), c AS (SELECT *, regexp_replace(t1, '{_HY}$', '') || t2 AS merged FROM b WHERE regexp_matches(t1, '^.+{_HY}$') AND regexp_matches(t2, '^[a-zA-ZÀ-ÿ]') AND NOT (ends_with(lower(regexp_replace(t1, '{_HY}$', '')), 'eenth') OR lower(regexp_replace(t1, '{_HY}$', '')) = 'anglo' OR (lower(regexp_replace(t1, '{_HY}$', '')) IN ({_ORD}) AND lower(t2) IN ({_ORD}, 'century')))),
+@query(f"""WITH {_TOK}, b AS (SELECT doc_id, pl, token AS t1, lead(token) OVER (PARTITION BY doc_id ORDER BY pl) AS t2 FROM tok), c AS (SELECT *, regexp_replace(t1, '{_HY}$', '') || t2 AS merged FROM b WHERE regexp_matches(t1, '^.+{_HY}$') AND regexp_matches(t2, '^[a-zA-ZÀ-ÿ]') AND NOT (ends_with(lower(regexp_replace(t1, '{_HY}$', '')), 'eenth') OR lower(regexp_replace(t1, '{_HY}$', '')) = 'anglo' OR (lower(regexp_replace(t1, '{_HY}$', '')) IN ({_ORD}) AND lower(t2) IN ({_ORD}, 'century')))),
 n AS (SELECT t1, t2, merged, count(*) AS n FROM c WHERE NOT regexp_matches(substr(merged, 2), '\\p{{Lu}}') GROUP BY 1, 2, 3) SELECT t1, t2, arg_min(merged, (-n, merged)) AS merged FROM n GROUP BY 1, 2""")
 def general_merges(spark: SparkSession, d: str) -> DataFrame:
     return L.general_merges(L.hyphen_candidates(toks(spark, d), "doc_id"))
@@ -135,7 +135,7 @@ def freq_buckets(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(O.frequency_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("types"), F.sum("n").alias("places"))
 
 
-@query(f"""WITH {_TOK}, c AS (SELECT doc_id, token AS t1, lead(token) OVER (PARTITION BY doc_id ORDER BY at) AS t2, at FROM tok), h AS (SELECT * FROM c WHERE regexp_matches(t1, '^.+{_HY}$') AND regexp_matches(t2, '^[a-zA-ZÀ-ÿ]')),
+@query(f"""WITH {_TOK}, c AS (SELECT doc_id, token AS t1, lead(token) OVER (PARTITION BY doc_id ORDER BY pl) AS t2, pl FROM tok), h AS (SELECT * FROM c WHERE regexp_matches(t1, '^.+{_HY}$') AND regexp_matches(t2, '^[a-zA-ZÀ-ÿ]')),
 t AS (SELECT doc_id, count(*) AS tokens FROM tok GROUP BY 1), p AS (SELECT doc_id, count(*) AS problems FROM h GROUP BY 1)
 SELECT doc_id, tokens, problems, round(problems::double / tokens, 6) AS score FROM t JOIN p USING (doc_id) ORDER BY problems::double / tokens DESC, doc_id LIMIT 30""")
 def noise_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +151,8 @@ def contained_segment_counts(spark: SparkSession, d: str) -> DataFrame:
     return L.segment_counts(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text", s)
 
 
-@query(f"""WITH {_TOK}, w AS (SELECT doc_id, at, token, list(token) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l, list(token) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS r FROM tok)
-SELECT doc_id, at::int AS at_, coalesce(array_to_string(l, ' '), '') AS "left", coalesce(array_to_string(r, ' '), '') AS "right" FROM w WHERE token = 'treaty'""")
+@query(f"""WITH {_TOK}, w AS (SELECT doc_id, pl, token, list(token) OVER (PARTITION BY doc_id ORDER BY pl ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l, list(token) OVER (PARTITION BY doc_id ORDER BY pl ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS r FROM tok)
+SELECT doc_id, pl::int AS at_, coalesce(array_to_string(l, ' '), '') AS "left", coalesce(array_to_string(r, ' '), '') AS "right" FROM w WHERE token = 'treaty'""")
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("at")
     t = toks(spark, d).withColumns({"left": F.array_join(F.collect_list("token").over(w.rowsBetween(-5, -1)), " "), "right": F.array_join(F.collect_list("token").over(w.rowsBetween(1, 6)), " ")})
@@ -272,7 +272,7 @@ def eigenvector(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def katz(spark: SparkSession, d: str) -> DataFrame:
-    return G.katz(cut(coauthors(spark, d)), rounds=40).withColumn("katz", F.round("katz", 5))
+    return G.katz(cut(coauthors(spark, d)), rounds=15).withColumn("katz", F.round("katz", 5))
 
 
 @query()
