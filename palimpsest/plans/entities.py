@@ -178,7 +178,11 @@ def chapter_clusters(spark: SparkSession, d: str) -> DataFrame:
 _NR = "1 - levenshtein({a}, {b})::double / greatest(length({a}), length({b}))"
 
 
-@query(rf"""WITH r AS (SELECT id, year, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\p{{M}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t, coalesce(trim(regexp_replace(regexp_replace(lower(secondary_title), '[^\p{{L}}\p{{N}}_\p{{M}}\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS h FROM reference WHERE title IS NOT NULL),
+# DuckDB's levenshtein counts bytes, so that both sides compare ASCII keys
+_ASCII = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({c})), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH r AS (SELECT id, year, {_ASCII.format(c='title')} AS t, coalesce({_ASCII.format(c='secondary_title')}, '') AS h FROM reference WHERE title IS NOT NULL),
 m AS (SELECT * FROM r WHERE year IS NOT NULL AND h <> ''), c AS (SELECT * FROM r WHERE year IS NULL OR h = ''),
 p AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id < b.id AND abs(a.year - b.year) <= 1 WHERE NOT ({_NR.format(a='a.h', b='b.h')} < 0.2 AND NOT contains(a.h, b.h) AND NOT contains(b.h, a.h)) AND a.t <> '' AND b.t <> '' AND
  ({_NR.format(a='a.t', b='b.t')} >= 0.85 OR (least(length(a.t), length(b.t)) >= 10 AND (contains(a.t, b.t) OR contains(b.t, a.t))))
@@ -186,7 +190,7 @@ p AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id < b.id AND abs(a.yea
  ({_NR.format(a='a.t', b='b.t')} >= 0.85 OR (least(length(a.t), length(b.t)) >= 10 AND (contains(a.t, b.t) OR contains(b.t, a.t)))))
 SELECT DISTINCT a, b FROM p""")
 def containment_catch_all(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reference").where("title IS NOT NULL").select("id", "year", T.accented_key(F.col("title")).alias("title"), F.coalesce(T.accented_key(F.col("secondary_title")), F.lit("")).alias("host"))
+    r = table(spark, d, "reference").where("title IS NOT NULL").select("id", "year", T.ascii_key(F.col("title")).alias("title"), F.coalesce(T.ascii_key(F.col("secondary_title")), F.lit("")).alias("host"))
     return R.permissive_pairs(r.where("title <> ''"))
 
 
