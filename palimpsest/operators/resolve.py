@@ -18,6 +18,12 @@ def native_ratio(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / n)
 
 
+def native_at_least(a: Column, b: Column, threshold: float) -> Column:
+    """Whether native_ratio reaches the threshold, by lengths first and then a bounded distance."""
+    room = (F.greatest(F.length(a), F.length(b)) * F.lit(1 - threshold) + 1e-9).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= room) & (F.call_function("levenshtein", a, b, room) >= 0)
+
+
 def similar_pairs(pairs: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
     """pairs whose indel ratio reaches the threshold, with `score`. Native bounds come first: equal texts
     need no UDF, impossible pairs none either."""
@@ -175,9 +181,9 @@ def titled_clusters(df: DataFrame, threshold: float, block: list[str], authors:
     return cluster_pairs(p)
 
 
-def titles_match(a: Column, b: Column, ratio: Column, threshold: float = 0.85, least: int = 10) -> Column:
+def titles_match(a: Column, b: Column, threshold: float = 0.85, least: int = 10) -> Column:
     inside = (F.least(F.length(a), F.length(b)) >= least) & (a.contains(b) | b.contains(a))
-    return (ratio >= threshold) | inside
+    return native_at_least(a, b, threshold) | inside
 
 
 def hosts_part(a: Column, b: Column, ratio: Column, threshold: float = 0.2) -> Column:
@@ -192,9 +198,9 @@ def permissive_pairs(df: DataFrame, ratio: Callable[[Column, Column], Column] =
     rest = df.where(F.col("year").isNull() | ~filled(F.col("host")))
     x = main.select(F.col("id").alias("a"), F.col("title").alias("x"), F.col("host").alias("hx"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
     y = main.select(F.col("id").alias("b"), F.col("title").alias("y"), F.col("host").alias("hy"), "year")
-    p = x.join(y, "year").where("a < b").where(~hosts_part(F.col("hx"), F.col("hy"), ratio(F.col("hx"), F.col("hy")))).where(titles_match(F.col("x"), F.col("y"), ratio(F.col("x"), F.col("y"))))
+    p = x.join(y, "year").where("a < b").where(~hosts_part(F.col("hx"), F.col("hy"), ratio(F.col("hx"), F.col("hy")))).where(titles_match(F.col("x"), F.col("y")))
     words = lambda d: d.select("id", F.explode(F.array_distinct(F.split("title", " "))).alias("w"), "title").where("w <> ''")
-    c = words(rest).select("w", F.col("id").alias("p"), F.col("title").alias("x")).join(words(df).select("w", F.col("id").alias("q"), F.col("title").alias("y")), "w").where("p <> q").where(titles_match(F.col("x"), F.col("y"), ratio(F.col("x"), F.col("y"))))
+    c = words(rest).select("w", F.col("id").alias("p"), F.col("title").alias("x")).join(words(df).select("w", F.col("id").alias("q"), F.col("title").alias("y")), "w").where("p <> q").where(titles_match(F.col("x"), F.col("y")))
     return p.select("a", "b").unionAll(c.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
 
 
