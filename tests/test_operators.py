@@ -217,7 +217,7 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.json_lines(spark, str(tmp_path / "a.jsonl"), "id long, t string").where("id IS NOT NULL").count() == 2
     fields = "200 " + "\x1faDupont\x1fbJean\x1e"
     directory = "200" + f"{len(fields.encode()):04d}" + "00000"
-    leader = f"{24 + len(directory) + 1 + len(fields.encode()) + 1:05d}nx  22" + f"{24 + len(directory) + 1:05d}" + "   450 "
+    leader = f"{24 + len(directory) + 1 + len(fields.encode()) + 1:05d}nx   22" + f"{24 + len(directory) + 1:05d}" + "   450 "
     (tmp_path / "b.mrc").write_bytes((leader + directory + "\x1e" + fields + "\x1d").encode())
     r = readers.marc_records(spark, str(tmp_path / "b.mrc")).select(readers.marc_fields(F.col("record")).alias("f")).select(readers.person(F.col("f")["200"][0]).alias("p")).first()
     assert r.p == "Dupont Jean"
