@@ -267,7 +267,7 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return G.eigenvector(cut(coauthors(spark, d)), 30).withColumn("eigenvector", F.round("eigenvector", 5))
+    return G.eigenvector(cut(coauthors(spark, d))).withColumn("eigenvector", F.round("eigenvector", 5))
 
 
 @query()
