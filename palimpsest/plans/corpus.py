@@ -272,7 +272,7 @@ def eigenvector(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def katz(spark: SparkSession, d: str) -> DataFrame:
-    return G.katz(cut(coauthors(spark, d)), rounds=15).withColumn("katz", F.round("katz", 5))
+    return G.katz(cut(coauthors(spark, d))).withColumn("katz", F.round("katz", 5))
 
 
 @query()

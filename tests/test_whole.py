@@ -38,6 +38,18 @@ def test_eigenvector_is_the_dense_one(spark, monkeypatch, two_cliques):
     assert {r.eigenvector for r in G.eigenvector(corpus.coauthors(spark, ""), 10).collect()} == {0.0}  # not settled
 
 
+def test_katz_is_the_dense_one(spark, monkeypatch, two_cliques):
+    monkeypatch.setattr(corpus, "coauthors", lambda s, d: s.createDataFrame(two_cliques, "u bigint, v bigint, weight bigint"))
+    ids, a = dense(two_cliques, False)
+    top = np.linalg.eigvalsh(a)[-1]
+    assert abs(G.leading_eigenvalue(corpus.coauthors(spark, "")) - top) < 1e-6
+    x = np.linalg.solve(np.eye(len(ids)) - 0.85 / top * a, np.ones(len(ids)))
+    got = {r.id: r.katz for r in corpus.katz(spark, "").collect()}
+    assert got.keys() == set(ids)
+    assert max(abs(got[i] - y) for i, y in zip(ids, x / np.linalg.norm(x))) < 6e-6
+    assert {r.katz for r in G.katz(corpus.coauthors(spark, ""), rounds=10).collect()} == {0.0}  # not settled
+
+
 def test_centralities_of_no_edges(spark):
     d = spark.createDataFrame([], "u bigint, v bigint, weight bigint")
     assert G.eigenvector(d).count() == 0 and G.katz(d).count() == 0
