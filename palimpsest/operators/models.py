@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def natural_breaks(values: list[float], k: int) -> list[int]:
     """Last index of each of k classes of sorted values with the least squared deviation."""
@@ -141,14 +143,17 @@ def ward(centroids: DataFrame, key: str, vector: str, k: int, limit: int = 4000)
 
 
 def lda(docs: DataFrame, key: str, terms: str, k: int, seed: int = 1826, passes: int = 20, least: int = 2, size: int = 1 << 16):
-    """(model, vocabulary, gamma: key, gamma array): online variational Bayes over document-term counts."""
+    """(model, vocabulary, gamma: key, gamma array): online variational Bayes over document-term counts. A pass
+    is an iteration over as many documents as there are, with the reference's (gensim's) offset 1 and decay 0.5.
+    Spark draws them with replacement: a pass has each document once on average, and of 20 passes one in 10^8
+    or fewer is never drawn."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     cv = CountVectorizer(inputCol=terms, outputCol="features", minDF=least, vocabSize=size).fit(docs)
-    dtm = cv.transform(docs).select(key, "features")
-    model = LDA(k=k, seed=seed, maxIter=passes, optimizer="online").fit(dtm)
+    dtm = cut(cv.transform(docs).select(key, "features"))  # read in every pass
+    model = LDA(k=k, seed=seed, maxIter=passes, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, learningDecay=0.5).fit(dtm)
     gamma = model.transform(dtm).select(key, vector_to_array("topicDistribution").alias("gamma"))
     return model, cv.vocabulary, gamma
 
@@ -167,7 +172,8 @@ def topic_words(model, vocabulary: list[str], top: int = 20) -> DataFrame:
 def coherence(df: DataFrame, doc: str, topics: DataFrame, window: int = 110, token: str = "token") -> DataFrame:
     """(topic, c_v): mean cosine of each top word's vector of normalised pointwise mutual information with the
     sum of the topic's vectors, over boolean sliding windows. topics: topic, term. Windows start at every
-    token; documents shorter than a window are one. Only tokens of topics are kept before windows are built."""
+    token; documents shorter than a window are one. The
+    vector of a word that is in every window is 0; it has no cosine and isn't part of the mean. Only tokens of topics are kept before windows are built."""
     wanted = F.broadcast(topics.select(F.col("term").alias(token)).distinct())  # topics x top words
     length = df.groupBy(doc).agg(F.max("at").alias("last"))
     hits = df.join(wanted, token).select(doc, token, "at").join(length, doc)
@@ -183,7 +189,7 @@ def coherence(df: DataFrame, doc: str, topics: DataFrame, window: int = 110, tok
     npmi = F.log((p + e) / (F.col("na") / F.col("N") * F.col("nb") / F.col("N") + e)) / -F.log(p + e)
     v = t.select("topic", "a", "b", F.coalesce(npmi, F.lit(0.0)).alias("x"))
     s = v.groupBy("topic", "b").agg(F.sum("x").alias("y"))
-    c = v.join(s, ["topic", "b"]).groupBy("topic", "a").agg((F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("c"))
+    c = v.join(s, ["topic", "b"]).groupBy("topic", "a").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("c"))
     return c.groupBy("topic").agg(F.avg("c").alias("c_v"))
 
 

@@ -391,13 +391,13 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
-    model, vocabulary, _ = M.lda(_documents(spark, d), "doc_id", "terms", 5, passes=10)
+    model, vocabulary, _ = M.lda(_documents(spark, d), "doc_id", "terms", 5, passes=30)
     return M.topic_words(model, vocabulary, 10).withColumn("beta", F.round("beta", 6))
 
 
 @query()
 def topic_coherence(spark: SparkSession, d: str) -> DataFrame:
-    model, vocabulary, _ = M.lda(_documents(spark, d), "doc_id", "terms", 5, passes=10)
+    model, vocabulary, _ = M.lda(_documents(spark, d), "doc_id", "terms", 5, passes=20)
     t = toks(spark, d).select("doc_id", "at", F.lower("lemma").alias("token")).where("token IS NOT NULL")
     return M.coherence(t, "doc_id", cut(M.topic_words(model, vocabulary, 8).select("topic", "term"))).withColumn("c_v", F.round("c_v", 6))
 
@@ -415,7 +415,7 @@ def topic_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def yearly_presence(spark: SparkSession, d: str) -> DataFrame:
-    _, _, gamma = M.lda(_documents(spark, d), "doc_id", "terms", 4, passes=8)
+    _, _, gamma = M.lda(_documents(spark, d), "doc_id", "terms", 4, passes=30)
     y = table(spark, d, "corpus_propre").select("doc_id", F.col("year").try_cast("int").alias("year"))
     return M.yearly_presence(gamma.join(y, "doc_id").where("year IS NOT NULL"), "year").withColumn("mean", F.round("mean", 6))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from palimpsest.operators import graph as G
+from palimpsest.operators import models as M
 from palimpsest.plans import corpus
 
 
@@ -53,3 +54,32 @@ def test_katz_is_the_dense_one(spark, monkeypatch, two_cliques):
 def test_centralities_of_no_edges(spark):
     d = spark.createDataFrame([], "u bigint, v bigint, weight bigint")
     assert G.eigenvector(d).count() == 0 and G.katz(d).count() == 0
+
+
+def test_topics_come_from_all_documents(spark):
+    themes = [["grain", "plough", "field", "mill"], ["ship", "sail", "harbour", "mast"]]
+    docs = spark.createDataFrame([(i, themes[i % 2] * 5) for i in range(16)], "doc_id bigint, terms array<string>")
+    model, vocabulary, gamma = M.lda(docs, "doc_id", "terms", 2)
+    got = {}
+    for r in M.topic_words(model, vocabulary, 4).collect():
+        got.setdefault(r.topic, {})[r.term] = r.beta
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, themes))
+    assert all(sum(t.values()) > 0.95 for t in got.values())
+    assert all(max(r.gamma) > 0.9 for r in gamma.collect())
+
+
+@pytest.mark.parametrize(("name", "passes"), [("lda_topics", 30), ("topic_coherence", 20), ("yearly_presence", 30)])
+def test_topic_queries_make_the_passes_of_the_reference(spark, data, monkeypatch, name, passes):
+    from pyspark.ml.clustering import LDA
+
+    seen = []
+    fit = LDA._fit
+    monkeypatch.setattr(LDA, "_fit", lambda self, d: seen.append(self.getMaxIter() * self.getSubsamplingRate()) or fit(self, d))
+    getattr(corpus, name)(spark, data)
+    assert seen == [passes]
+
+
+def test_coherence_with_a_word_in_every_window(spark):
+    tokens = spark.createDataFrame([(d, i, w) for d in range(6) for i, w in enumerate(["the", "ship", "sail"] if d < 3 else ["the", "mill"])], "doc_id bigint, at int, token string")
+    topics = spark.createDataFrame([(0, "the"), (0, "ship"), (0, "sail")], "topic int, term string")
+    assert abs(M.coherence(tokens, "doc_id", topics).first().c_v - 1) < 1e-9
