@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio, indel_ratio_udf, may_reach
+from ..session import cut
 from .graph import components
 from .tabular import block_pairs, filled
 
@@ -165,6 +166,36 @@ def greedy_leaders(df: DataFrame, block: str, key: str, threshold: float, id_: s
     return d.groupBy("block").applyInPandas(run, "id bigint, leader bigint")
 
 
+def leaders_without_blocks(df: DataFrame, key: str, threshold: float, id_: str = "id") -> DataFrame:
+    """(id, leader) as by greedy_leaders over all rows in one block. All like pairs of distinct keys are found
+    first, through lengths that allow the ratio and a bounded distance, both exact; a task then handles a component
+    of like keys, as no key of another one can lead it. Quadratic in the distinct keys of near lengths."""
+    rows = df.where(filled(F.col(key))).select(F.col(id_).alias("id"), F.col(key).alias("k"))
+    keys = cut(rows.groupBy("k").agg(F.min("id").alias("id")).withColumn("n", F.length("k")))
+    most = F.floor(F.col("n") * F.lit((2 - threshold) / threshold) + 1e-9).cast("int")  # of the longer key
+    short = keys.select(F.col("id").alias("p"), F.col("k").alias("x"), F.explode(F.sequence(F.col("n"), most)).alias("n"))
+    pairs = short.join(keys.select(F.col("id").alias("q"), F.col("k").alias("y"), "n"), "n").where((F.length("x") < F.length("y")) | (F.col("p") < F.col("q")))
+    room = ((F.length("x") + F.length("y")) * F.lit(1 - threshold) + 1e-9).cast("int")
+    like = similar_pairs(pairs.where(F.call_function("levenshtein", F.col("x"), F.col("y"), room) >= 0), "x", "y", threshold)
+    like = cut(like.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
+
+    def run(pdf):
+        import pandas as pd
+
+        before: dict[int, list[int]] = {}
+        for u, v in zip(pdf["u"], pdf["v"]):
+            before.setdefault(v, []).append(u)
+        lead: dict[int, int] = {}
+        for i in sorted({*pdf["u"], *pdf["v"]}):
+            lead[i] = min((u for u in before.get(i, ()) if lead[u] == u), default=i)
+        return pd.DataFrame(list(lead.items()), columns=["first", "leader"])
+
+    of = components(like).withColumnRenamed("id", "u")
+    led = like.join(of, "u").groupBy("component").applyInPandas(run, "first bigint, leader bigint")
+    first = rows.join(keys.select("k", F.col("id").alias("first")), "k").select("id", "first")
+    return first.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+
+
 def titled_clusters(df: DataFrame, threshold: float, block: list[str], authors: DataFrame | None = None, author_threshold: float = 0.82) -> DataFrame:
     """Clusters of rows of one block (year, leader of the host, chapter number) whose titles are alike and,
     if authors are given, of which a pair of authors is; a row without authors agrees with any.

@@ -9,7 +9,8 @@ import pytest
 
 from palimpsest.operators import graph as G
 from palimpsest.operators import models as M
-from palimpsest.plans import corpus
+from palimpsest.operators import resolve as R
+from palimpsest.plans import corpus, entities
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,26 @@ def test_coherence_with_a_word_in_every_window(spark):
     tokens = spark.createDataFrame([(d, i, w) for d in range(6) for i, w in enumerate(["the", "ship", "sail"] if d < 3 else ["the", "mill"])], "doc_id bigint, at int, token string")
     topics = spark.createDataFrame([(0, "the"), (0, "ship"), (0, "sail")], "topic int, term string")
     assert abs(M.coherence(tokens, "doc_id", topics).first().c_v - 1) < 1e-9
+
+
+def test_like_hosts_may_begin_otherwise(spark, monkeypatch):
+    hosts = ["handbook of ancient mills", "the handbook of ancient mills", "hndbook of ancient mills", "ships of the north"]
+    rows = [(i, "Chapter 3 The mills of the valley", h) for i, h in enumerate(hosts, 1)]
+    monkeypatch.setattr(entities, "table", lambda s, d, n: s.createDataFrame(rows, "id bigint, title string, secondary_title string"))
+    got = entities.chapter_clusters(spark, "").collect()
+    assert {r.id for r in got} == {1, 2, 3}
+
+
+def test_leaders_without_blocks_are_those_of_one_block(spark):
+    import random
+
+    rnd = random.Random(5)
+    bases = ["".join(rnd.choices("abcde ", k=rnd.randint(3, 14))) for _ in range(12)]
+    rows = []
+    for i in range(1, 160):
+        k = list(rnd.choice(bases))
+        for _ in range(rnd.randint(0, 3)):
+            k[rnd.randrange(len(k))] = rnd.choice(["", "x", "ab"])
+        rows.append((i, "".join(k), ""))
+    d = spark.createDataFrame(rows, "id bigint, k string, block string")
+    assert sorted(R.leaders_without_blocks(d, "k", 0.8).collect()) == sorted(R.greedy_leaders(d, "block", "k", 0.8).collect())
