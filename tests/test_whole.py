@@ -107,3 +107,12 @@ def test_leaders_without_blocks_are_those_of_one_block(spark):
         rows.append((i, "".join(k), ""))
     d = spark.createDataFrame(rows, "id bigint, k string, block string")
     assert sorted(R.leaders_without_blocks(d, "k", 0.8).collect()) == sorted(R.greedy_leaders(d, "block", "k", 0.8).collect())
+
+
+def test_authors_enter_the_largest_component_in_a_year(spark, monkeypatch):
+    pairs = [(1, 2, 1975), (2, 3, 1983), (3, 4, 1987), (10, 11, 1988), (11, 12, 1988), (12, 13, 1988), (13, 14, 1988), (1, 5, 1989), (5, 6, 1989)]
+    monkeypatch.setattr(corpus, "_dated_pairs", lambda s, d: s.createDataFrame([(*p, 1) for p in pairs], "u bigint, v bigint, year bigint, weight int"))
+    got = {r.id: r.year for r in corpus.lcc_entry_years(spark, "").collect()}
+    assert got == {1: 1983, 2: 1983, 3: 1983, 4: 1987, 5: 1989, 6: 1989, **dict.fromkeys(range(10, 15), 1988)}
+    got = {r.id: r.year for r in corpus.lcc_entry_years(spark, "", 1984, 5).collect()}
+    assert got == {**dict.fromkeys(range(10, 15), 1988), **dict.fromkeys(range(1, 7), 1989)}
