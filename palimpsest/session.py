@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,42 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    out._files = kept.queryExecution().logical().rdd().getCheckpointFile()
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the files of results of ``cut`` that nothing reads any more, as the rounds of a loop before the
+    last; anything else is left alone."""
+    for df in dfs:
+        files = getattr(df, "_files", None)
+        if files is not None and files.isDefined():
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(files.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            df._files = None
+
+
+def sieve(df: DataFrame, column: str, most: int = 1 << 22) -> Callable[[Column], Column]:
+    """A test that every value of a string column passes and few others do: a Bloom filter of at most `most`
+    bits (512 KB), whatever the number of values. It keeps rows that can't match from a shuffle; a join must
+    follow."""
+    jvm = df.sparkSession._jvm
+    values = df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+    n = values.count()
+    if not n:
+        return lambda c: F.lit(False)
+    made = values._jdf.stat().bloomFilter("h", n, min(most, max(1 << 10, 12 * n)))
+    out = jvm.java.io.ByteArrayOutputStream()
+    made.writeTo(out)
+    raw = F.lit(bytes(out.toByteArray()))
+    make = jvm.org.apache.spark.sql.classic.ExpressionUtils
+
+    def test(c: Column) -> Column:
+        return Column(make.column(jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(make.expression(raw._jc), make.expression(F.xxhash64(c)._jc))))
+
+    return test
 
 
 def spread(df: DataFrame) -> DataFrame:
