@@ -157,14 +157,40 @@ def test_censored_fit_recovers_parameters():
             cut += 1
         else:
             lengths.append(round(x))
-    sizes = sorted(set(lengths))
-    n = {s: 0 for s in sizes}
-    for x in lengths:
-        n[x] += 1
-    mean, dev = truncation.censored_fit(sizes, [n[s] for s in sizes], {600: cut})
+    logs = [math.log(x) for x in lengths]
+    mean, dev = truncation.censored_fit(len(logs), sum(logs), sum(x * x for x in logs), {600: cut})
     assert math.isclose(mean, 6.0, abs_tol=0.05) and math.isclose(dev, 0.8, abs_tol=0.05)
 
 
+def truncated(spark, limit):
+    """300 notices of source s, of which 60 are as long as `limit` and open; one title is 60 characters long."""
+    rnd = random.Random(12)
+    sentence = lambda: f"The {rnd.choice(['author', 'writer', 'critic'])} returns to the {rnd.choice(['old', 'new', 'open'])} question of identity. "
+    rows = [(i, "".join(sentence() for _ in range(rnd.randint(1, 9))).strip()) for i in range(240)]
+    rows += [(1000 + i, ("".join(sentence() for _ in range(6)) + "The author returns to the question of id")[-limit:]) for i in range(60)]
+    rows += [(2000 + i, f"The rampart of {w}: law and land"[: limit + 20]) for i, w in enumerate(("Hastuttecourt", "Romeford", "Condirudun", "Belo", "Fotogueste"))]
+    return spark.createDataFrame([(i, t, "s") for i, t in [*rows, (3000, "The author returns to the question of the old identity, whic")]], "doc_id long, text string, source string")
+
+
+def test_truncation_follows_the_limit_of_a_source(spark):
+    """The same text is cut where its length is its source's limit, and whole or doubtful elsewhere."""
+    def odds(limit, fitted=True):
+        return {r.doc_id: r.odds for r in truncation.judge(truncated(spark, limit), fitted=fitted).collect()}
+
+    at, elsewhere, without = odds(60), odds(90), odds(60, False)
+    assert at[3000] > elsewhere[3000] + 2 and at[3000] > without[3000] + 2
+    assert at[3000] > 0 and all(at[2000 + i] < 0 for i in range(5)) and all(v == float("-inf") for k, v in at.items() if k < 1000)
+
+
+def test_lengths_far_out_are_no_limits(spark):
+    rnd = random.Random(2)
+    hist = [("s", "bytes", 60000 + 7 * i, 1, 1) for i in range(900)] + [("s", "bytes", rnd.randint(100, 3000), 1, 0) for _ in range(400)]
+    d = spark.createDataFrame(hist, "source string, unit string, size long, n long, n_open long")
+    assert truncation.censoring_posteriors(d).count() == 0
+    d = d.unionAll(spark.createDataFrame([("s", "bytes", 65535, 40, 38)], d.schema))
+    assert [(r["size"], r.posterior > 0.9) for r in truncation.censoring_posteriors(d).collect()] == [(65535, True)]
+
+
 def test_names():
     p = names.parse
     assert p("Dupont, Jean") == ("person", ["dupont"], ["jean"]) and p(None)[0] == "" and p("NA")[0] == "" and p("Collectif")[0] == ""
