@@ -226,6 +226,25 @@ def test_near_duplicates(spark):
     assert near_duplicates.groups(d.limit(0)).count() == 0
 
 
+def test_signatures_decide(spark):
+    cols = "id long, title string, secondary_title string, year int, doi string, start_page string, volume string"
+    rnd = random.Random(6)
+    place = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(5))
+    rows = [(50 + i, f"{place()} and {place()} in late sources", place(), 1950 + i, None, None, None) for i in range(20)]
+    rows += [(1, "The rampart of Hastuttecourt: a historiographical essay", "Acta Barbarica", 1999, None, None, None), (2, "The rampart of Hastutecourt: a historiographical esay", "Acta Barbarica", 1999, None, None, None)]
+    d = spark.createDataFrame(rows, cols)
+    found = lambda like: {(r.a, r.b) for r in near_duplicates.matches(d, like)[1].collect()}
+    assert found(near_duplicates.LIKE) == {(1, 2)} and found(0.95) == set()
+
+
+def test_hot_bands_lose_no_pair(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.randint(1, 3), 7, rnd.choice([None, 1990, 1991, 1992, 1995]), rnd.choice(["", "1", "2"]), rnd.choice(["", "1", "2"]), rnd.choice(["", "", "", "10.1/a", "10.1/b"])) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, band long, must long, year int, page string, volume string, doi string")
+    got = {hot: {tuple(r) for r in near_duplicates.met(d, hot).collect()} for hot in (2, 1000)}
+    assert got[2] == got[1000] and len(got[2]) > 100
+
+
 def test_titles():
     w, n, review = publications.title_of("Compte rendu de : The Goths of Rome, II [texte imprimé]")
     assert review and n == "2" and w[:2] == ["the", "goths"]
