@@ -5,11 +5,13 @@
    neighbouring tokens over the corpus tell whether the text reads on across a cluster; numbers that
    count on from page to page support each other. What is furniture leaves the text.
 2. Words. A lexicon of frequent types and counts of bigrams are taken from what is left. A symmetric-delete
-   index over the lexicon gives candidates for every other type, a weighted edit distance with confusion
-   pairs and the frequencies pick one; types that fall into lexicon words which follow each other
-   elsewhere are words run together; neighbours whose concatenation is a far more frequent word are its
-   pieces, with or without a hyphen, and where both pieces are words themselves the bigrams around decide.
-   The repair with the better count of bigrams is the one that is made.
+   index over the lexicon, and an index of forms in which all confusions are folded, give candidates for
+   every other type; a weighted edit distance with confusion pairs keeps those that may be meant. Which of
+   them is meant, or whether the word stays, the bigrams at each place decide together with frequency and
+   distance. Types that fall into lexicon words which follow each other elsewhere are words run together;
+   neighbours whose concatenation is a far more frequent word are its pieces, with or without a hyphen, and
+   where both pieces are words themselves the bigrams around decide. Of two repairs of one element the one
+   with the better bigrams is made, for all elements it covers.
 
 Counts cover the whole corpus, decisions are made per type or bigram type by joins; nothing of the corpus
 is collected or broadcast.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import osa
-from ..session import cut, spread
+from ..session import cut, sieve, spread
 
 # Characters and groups that scanners take for each other.
 CONFUSIONS = (
@@ -179,13 +181,16 @@ def _masked(t: str | None) -> str:
 def _chain(numbers: list[tuple[int, int, int]]) -> set[int]:
     """Places of the heaviest run of numbers that count on from page to page. numbers: place, value, weight."""
     best: list[tuple[int, int, int]] = []  # weight, length, the one before
+    of: dict[int, int] = {}  # the best place so far of each value
     for i, (_, v, w) in enumerate(numbers):
         weight, length, back = w, 1, -1
-        for j in range(i):
-            step = v - numbers[j][1]
-            if 1 <= step <= 3 and best[j][0] + w - 2 * (step - 1) > weight:
+        for step in (1, 2, 3):
+            j = of.get(v - step)
+            if j is not None and best[j][0] + w - 2 * (step - 1) > weight:
                 weight, length, back = best[j][0] + w - 2 * (step - 1), best[j][1] + 1, j
         best.append((weight, length, back))
+        if v not in of or best[i] > best[of[v]]:
+            of[v] = i
     if not best:
         return set()
     i = max(range(len(best)), key=lambda i: best[i])
@@ -300,16 +305,33 @@ def _deletes(word, prefix: int = 9):
     return F.array_distinct(F.concat(F.array(p), one, two))
 
 
-def damaged_types(types: DataFrame, bigrams: DataFrame, least: float) -> DataFrame:
-    """(token, repair) of types that are misread or run together. types: token, n; least: a lexicon word's count."""
+def _index(word):
+    """Keys under which a word and its misread forms meet: deletes, and strokes for words full of confusions."""
+    return F.concat(_deletes(word), F.when(F.length(word) >= 5, F.array(F.concat(F.lit("\x04"), _strokes(word)))).otherwise(F.array().cast("array<string>")))
+
+
+def _strokes(word):
+    """A word with all letters that are taken for each other, and groups of them, written alike."""
+    one = word
+    for x, y in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬅ", "st")):
+        one = F.replace(one, F.lit(x), F.lit(y))
+    one = F.translate(one, "0Oo1l!I|rj@958B6SsſfTtq72ec", "ccciiiiiiiagtbbbttttttgtzcc")
+    for x, y in (("m", "iii"), ("[nuhb]", "ii"), ("d", "ci"), ("w", "vv")):
+        one = F.regexp_replace(one, x, y)
+    return one
+
+
+def damaged_types(types: DataFrame, bigrams: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(token, word, n, score) of all words a type may be misread from, and (token, repair) of types that are
+    words run together. types: token, n; least: a lexicon word's count."""
     letters = r"^[\p{L}][\p{L}\p{M}'’\-]*$"
     lexicon = types.where((F.col("n") >= least) & F.col("token").rlike(letters) & (F.length("token") > 1))
     strange = types.where(F.col("token").rlike(r"[\p{L}]") & (F.length("token") > 1))
 
     # misread: candidates by the symmetric-delete index
     pairs = (
-        strange.where(F.length("token") > 2).select("token", "n", F.explode(_deletes(F.col("token"))).alias("k"))
-        .join(lexicon.where(F.length("token") > 2).select(F.col("token").alias("word"), F.col("n").alias("m"), F.explode(_deletes(F.col("token"))).alias("k")), "k")
+        strange.where(F.length("token") > 2).select("token", "n", F.explode(_index(F.col("token"))).alias("k"))
+        .join(lexicon.where(F.length("token") > 2).select(F.col("token").alias("word"), F.col("n").alias("m"), F.explode(_index(F.col("token"))).alias("k")), "k")
         .where((F.col("word") != F.col("token")) & (F.col("n") * 8 <= F.col("m")) & (F.abs(F.length("word") - F.length("token")) <= 3)).select("token", "word", "n", "m").distinct()
     )
 
@@ -322,15 +344,15 @@ def damaged_types(types: DataFrame, bigrams: DataFrame, least: float) -> DataFra
     strong = F.when(cased, (F.col("cost") <= 0.6) & (F.col("n") * 200 <= F.col("m"))).otherwise((F.col("cost") <= 0.31) | (rare & F.when(F.length("word") < 5, F.col("cost") <= 0.6).otherwise(F.col("cost") <= 1.21)))
     odd = F.col("token").rlike(r"^(?=.*[\p{L}])(?=.*[0-9@!ſﬁﬂﬀ])")
     misread = pairs.mapInPandas(weigh, "token string, word string, n bigint, m bigint, cost double").where(strong | (odd & (F.col("cost") <= 1.3)))
-    misread = misread.select("token", "word", (F.log("m") - 6 * F.col("cost")).alias("score"))
+    misread = misread.select("token", "word", "n", (F.log("m") - 6 * F.col("cost")).alias("score"))
     # characters that no word has: the plain form is a type of the corpus
     plain = strange.where(odd).withColumn("word", F.translate(F.regexp_replace(F.regexp_replace("token", "ﬁ", "fi"), "ﬂ", "fl"), "01@!958ſ", "olaigsbs"))
-    plain = plain.join(types.select(F.col("token").alias("word"), F.col("n").alias("m")), "word").where("word <> token AND m > 1").select("token", "word", F.log("m").alias("score"))
-    misread = misread.unionByName(plain).groupBy("token").agg(F.max_by("word", "score").alias("repair"))
+    plain = plain.join(types.select(F.col("token").alias("word"), F.col("n").alias("m")), "word").where("word <> token AND m > 1").select("token", "word", "n", F.log("m").alias("score"))
+    misread = misread.unionByName(plain).groupBy("token", "word", "n").agg(F.max("score").alias("score"))
 
     # run together: all lexicon words inside a type, then the best way through it
     inside = strange.where((F.length("token") >= 5) & F.col("token").rlike(letters))
-    spans = inside.select("token", "n", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i")).select("token", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(28), F.length("token") - F.col("i") + 1))).alias("l"))
+    spans = inside.select("token", "n", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i")).select("token", "n", "i", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("i") + 1)).alias("l"))
     spans = spans.where(F.col("l") < F.length("token")).select("token", "n", "i", "l", F.expr("substring(token, i, l)").alias("word"))
     words = types.where((F.col("n") > 1) & F.col("token").rlike(letters) & ((F.length("token") > 1) | F.col("token").isin("a", "I", "A"))).select(F.col("token").alias("word"), F.col("n").alias("m"))
     hits = spans.join(words, "word").where("m >= 5 * n").groupBy("token").agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "l", "m")).alias("hits"))
@@ -354,7 +376,23 @@ def damaged_types(types: DataFrame, bigrams: DataFrame, least: float) -> DataFra
     steps = cuts.select("token", "n", "words", F.explode(F.arrays_zip(F.slice("words", F.lit(1), F.size("words") - 1).alias("a"), F.slice("words", F.lit(2), F.size("words") - 1).alias("b"))).alias("p"))
     joined = steps.select("token", "n", "words", "p.a", "p.b").join(bigrams.withColumnRenamed("n", "nn"), ["a", "b"], "left")
     together = joined.groupBy("token").agg(F.min(F.coalesce("nn", F.lit(0)) - F.col("n")).alias("worst"), F.first(F.array_join("words", " ")).alias("repair")).where("worst >= 1").select("token", "repair")
-    return misread.join(together.withColumnRenamed("repair", "parts"), "token", "full").select("token", F.coalesce("parts", "repair").alias("repair"))
+    return misread.join(together, "token", "left_anti"), together
+
+
+def chosen_words(places: DataFrame, candidates: DataFrame, bigrams: DataFrame, context: bool = True) -> DataFrame:
+    """(before, token, after, repair, evidence): the word each distinct place of a doubtful type has, by
+    frequency, distance and the bigrams with its neighbours; a place where the type itself fits best gives no
+    row. places: before, token, after; context=False leaves the neighbours out."""
+    stays = candidates.groupBy("token", "n").agg(F.lit(1)).select("token", F.col("token").alias("word"), "n", F.log("n").alias("score"))
+    tried = places.distinct().join(candidates.unionByName(stays), "token")
+    n = bigrams.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "n")
+    for name, x, y in (("left", "before", "word"), ("right", "word", "after")):
+        tried = tried.join(n.select("_a", "_b", F.col("n").alias(name)), (F.col(x) == F.col("_a")) & (F.col(y) == F.col("_b")), "left").drop("_a", "_b")
+    own = F.when(F.col("word") == F.col("token"), 1).otherwise(0)  # the place itself is no evidence
+    seen = [F.greatest(F.lit(0), F.coalesce(c, F.lit(0)) - own) for c in ("left", "right")]
+    tried = tried.withColumn("evidence", seen[0] + seen[1]).withColumn("total", F.col("score") + ((F.log1p(seen[0]) + F.log1p(seen[1])) if context else F.lit(0.0)))
+    best = tried.groupBy("before", "token", "after").agg(F.max(F.struct("total", "evidence", "word")).alias("b"))
+    return best.select("before", "token", "after", F.col("b.word").alias("repair"), F.col("b.evidence").alias("evidence")).where("repair <> token")
 
 
 def broken_words(types: DataFrame, bigrams: DataFrame) -> DataFrame:
@@ -373,40 +411,86 @@ def broken_words(types: DataFrame, bigrams: DataFrame) -> DataFrame:
     return pairs.where(hyphened & (frequent | (F.col("m") >= 2)) | frequent | fresh).groupBy("a", "b").agg(F.max_by("word", "m").alias("word"), F.max("m").alias("m"), F.first("n").alias("n"), F.first(~hyphened & alone).alias("open"))
 
 
-def repairs(corpus: DataFrame) -> DataFrame:
+def repairs(corpus: DataFrame, context: bool = True) -> DataFrame:
     """(doc_id, idx, kind, repair) of every damaged element; repair is null for furniture and for the
-    second piece of a word."""
+    second piece of a word. context=False picks misread words without their neighbours."""
     p = cut(prose(corpus))
     bigrams = cut(_bigrams(p, False))
     types = cut(bigrams.where(F.col("a") != START).groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n")))
     total = types.agg(F.sum("n")).first()[0] or 0
-    bad = cut(damaged_types(types, bigrams, 3 + 2e-5 * total))
+    doubtful, together = (cut(x) for x in damaged_types(types, bigrams, 3 + 2e-5 * total))
     pieces = cut(broken_words(types, bigrams))
+    pair = lambda a, b: F.concat(a, F.lit("\x04"), b)
+    bad = sieve(doubtful.select("token").unionAll(together.select("token")), "token")
+    broken = sieve(pieces.select(pair(F.col("a"), F.col("b")).alias("p")), "p")
     gone = p.select("doc_id", F.explode("furniture").alias("idx")).select("doc_id", "idx", F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("repair"))
 
     t = F.concat(F.array(F.lit(START)), F.transform("tokens", lambda x: F.coalesce(x, F.lit(NULL))), F.array(F.lit(END)))
-    rows = p.select("doc_id", "at", t.alias("t")).select("doc_id", F.explode(F.transform("at", lambda x, i: F.struct(
+    rows = p.select("doc_id", "at", t.alias("t")).select("doc_id", F.transform("at", lambda x, i: F.struct(
         x.alias("idx"), F.element_at("t", i + 1).alias("before"), F.element_at("t", i + 2).alias("token"), F.element_at("t", i + 3).alias("b"),
-        F.when(i + 4 <= F.size("t"), F.element_at("t", F.least(i + 4, F.size("t")))).alias("after"), F.when(i + 1 < F.size("at"), F.element_at("at", F.least(i + 2, F.size("at")))).alias("next")))).alias("r")).select("doc_id", "r.*")
-    wrong = rows.join(bad, "token").select("doc_id", "idx", F.lit("misread").alias("kind"), "repair")
-    split = rows.withColumnRenamed("token", "a").join(pieces, ["a", "b"])
-    # where both pieces are words, the counts of bigrams around them decide
-    sides = cut(split)
-    known = sides.where("open")
+        F.when(i + 4 <= F.size("t"), F.element_at("t", F.least(i + 4, F.size("t")))).alias("after"), F.when(i + 1 < F.size("at"), F.element_at("at", F.least(i + 2, F.size("at")))).alias("next"))).alias("r"))
+    # only elements that may be damaged leave their document
+    rows = cut(rows.select("doc_id", F.explode(F.filter("r", lambda r: bad(r["token"]) | broken(pair(r["token"], r["b"])))).alias("r")).select("doc_id", "r.*"))
+    alone = rows.select("doc_id", "idx", "before", "token", F.col("b").alias("after"))
+    chosen = chosen_words(alone.join(doubtful.select("token").distinct(), "token", "left_semi").select("before", "token", "after"), doubtful, bigrams, context)
+    wrong = alone.join(chosen, ["before", "token", "after"]).select("doc_id", "idx", "repair", "evidence")
+    wrong = cut(wrong.unionByName(alone.join(together, "token").select("doc_id", "idx", "repair", F.lit(0).cast("bigint").alias("evidence"))))
+
+    # pieces: the bigrams around, also of the pieces as words
+    known = rows.withColumnRenamed("token", "a").join(pieces, ["a", "b"])
     n = bigrams.withColumnRenamed("n", "nn")
     for name, x, y in (("left", "before", "word"), ("right", "word", "after"), ("keep_l", "before", "a"), ("keep_r", "b", "after")):
         known = known.join(n.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("nn").alias(name)), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left").drop("_x", "_y")
-    known = known.na.fill(0, ["left", "right", "keep_l", "keep_r"]).where("(left > 1 OR right > 1) AND left + right > 2 * (keep_l + keep_r - 2)")
-    both = sides.where("NOT open").select("doc_id", "idx", "next", "word").unionByName(known.select("doc_id", "idx", "next", "word"))
-    split = both.select("doc_id", F.explode(F.array(F.struct(F.col("idx"), F.col("word").alias("repair")), F.struct(F.col("next").alias("idx"), F.lit(None).cast("string").alias("repair")))).alias("s")).select("doc_id", "s.idx", F.lit("split").alias("kind"), "s.repair")
-    every = gone.unionByName(wrong).unionByName(split)
-    return every.groupBy("doc_id", "idx").agg(F.max_by("kind", "kind").alias("kind"), F.max("repair").alias("repair"))
-
-
-def continuous(corpus: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(doc_id, text): the repaired text of every document."""
+    known = known.na.fill(0, ["left", "right", "keep_l", "keep_r"]).where("NOT open OR ((left > 1 OR right > 1) AND left + right > 2 * (keep_l + keep_r - 2))")
+    split = cut(known.select("doc_id", "idx", "next", F.col("word").alias("repair"), (F.col("left") + F.col("right")).alias("evidence")))
+    # a piece that was misread as well: one of the two repairs is made
+    both = split.select("doc_id", F.col("idx").alias("first"), F.explode(F.array("idx", "next")).alias("idx"), "evidence")
+    met = both.join(wrong.select("doc_id", "idx", F.col("evidence").alias("other")), ["doc_id", "idx"])
+    lost = met.groupBy("doc_id", F.col("first").alias("idx")).agg(F.max(F.col("other") > F.col("evidence")).alias("lost")).where("lost")
+    split = split.join(lost, ["doc_id", "idx"], "left_anti")
+    wrong = wrong.join(split.select("doc_id", F.explode(F.array("idx", "next")).alias("idx")), ["doc_id", "idx"], "left_anti").select("doc_id", "idx", F.lit("misread").alias("kind"), "repair", "evidence")
+    split = split.select("doc_id", "evidence", F.explode(F.array(F.struct(F.col("idx"), F.col("repair")), F.struct(F.col("next").alias("idx"), F.lit(None).cast("string").alias("repair")))).alias("s")).select("doc_id", "s.idx", F.lit("split").alias("kind"), "s.repair", "evidence")
+    every = gone.withColumn("evidence", F.lit(None).cast("bigint")).unionByName(wrong).unionByName(split)
+    rank = F.when(F.col("kind") == "furniture", 2).when(F.col("kind") == "split", 1).otherwise(0)
+    best = every.groupBy("doc_id", "idx").agg(F.max(F.struct(rank.alias("rank"), "evidence", "kind", "repair")).alias("b"))
+    return best.select("doc_id", "idx", "b.kind", "b.repair")
+
+
+def continuous(corpus: DataFrame, fixes: DataFrame, sentences: int = 8) -> DataFrame:
+    """(doc_id, text): the repaired text of every document in paragraphs of so many sentences or a few more -
+    the tokens don't tell where the author's began. Of documents under one doc_id the first by content counts."""
     per = fixes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.coalesce("repair", F.lit(""))))).alias("fix"))
-    d = corpus.where("lexical_features IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", F.transform("lexical_features", lambda x: x["token"]).alias("tokens")).join(per, "doc_id", "left")
-    words = F.filter(F.transform("tokens", lambda x, i: F.coalesce(F.element_at("fix", i), x, F.lit(""))), lambda x: x != "")
-    text = F.regexp_replace(F.regexp_replace(F.array_join(words, " "), r" ([.,;:!?)\]])", "$1"), r"([(\[]) ", "$1")
-    return d.select("doc_id", text.alias("text"))
+    d = corpus.where("lexical_features IS NOT NULL").select("doc_id", F.transform("lexical_features", lambda x: x["token"]).alias("tokens"))
+    d = d.groupBy("doc_id").agg(F.min_by("tokens", F.xxhash64("tokens")).alias("tokens")).join(per, "doc_id", "left")
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            texts = []
+            for tokens, fix in zip(b["tokens"], b["fix"]):
+                fix = {} if fix is None else dict(fix)
+                words = [w for i, t in enumerate(tokens) if (w := fix.get(i, t))]
+                texts.append("\n\n".join(paragraphs(words, sentences)))
+            yield b[["doc_id"]].assign(text=texts)
+
+    return d.mapInPandas(run, "doc_id string, text string")
+
+
+CLOSING, OPENING = set(".,;:!?)]}»”’…%"), set("([{«“„‘")
+
+
+def paragraphs(words: list[str], sentences: int) -> list[str]:
+    """Text with signs set as print sets them: closing ones behind their word, opening ones before it, straight
+    quotation marks by turns."""
+    out: list[str] = []
+    text, glue, quoted, ends = "", True, False, 0
+    for w in words:
+        closes = w in CLOSING or w in ("'", "’s", "'s", "n't") or (w == '"' and quoted) or w.startswith(("’", "'")) and len(w) < 4
+        if ends >= sentences and not closes and not quoted and (w[:1].isupper() or w in OPENING or w == '"'):
+            out.append(text)
+            text, glue, ends = "", True, 0
+        text += w if glue or closes else " " + w
+        if w == '"':
+            quoted = not quoted
+        glue = w in OPENING or (w == '"' and quoted)
+        ends += w in (".", "!", "?", "…")
+    return out + [text] if text else out
