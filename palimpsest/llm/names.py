@@ -2,10 +2,12 @@
 
 Names are brought into forms (family name, given names, or the words of an organisation); the distinct
 forms, not the rows, are compared. Suffix blocking: every token's suffixes from a minimum length on are
-index keys; a suffix that is too common is refined with the other part of the name, in three steps of
-growing length, the last of which only forms of the same two words share; so no key is dropped. Pairs are
-compared by the ratio of the longest common subsequence, with initials, nicknames, transliteration and
-swapped parts. Forms that agree in full names make clusters; a cluster of initials joins the only cluster
+index keys; a suffix that is too common is refined with the other part of the name, in two steps of growing
+length. Forms under a key that is common even then meet by whole names with letters left out, so that forms of
+one popular family name which differ in an edit still meet, and forms of initials by family name and letter;
+no key is dropped. Words are compared by the ratio of their longest common subsequence, against a threshold by
+length; a native bound on the family names keeps most pairs from it. Initials, nicknames, transliteration
+and swapped parts are allowed for. Forms that agree in full names make clusters; a cluster of initials joins the only cluster
 of full names that fits.
 
 Identifiers (IdRef, VIAF, ORCID, ISNI) decide over names: rows that a chain of shared identifiers joins are one person, and a cluster
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
-from ..functions.similarity import lcs_length, osa
-from ..session import cut, spread
+from ..functions.similarity import lcs_length
+from ..session import cut, discard, spread
 from .components import alternating_stars, shared_value_edges
 
 SUFFIX, COMMON = 5, 40
@@ -84,6 +86,12 @@ def _words(s: str) -> list[str]:
     return re.findall(r"[^\W\d_]+", plain(s))
 
 
+def _abbreviated(t: str) -> bool:
+    """Whether at least two words stand for what organisations are called by, cut off by a stop or long enough."""
+    short = {plain(w) for w in re.findall(r"(?<!\w)([^\W\d_]{2,})\.", t)}
+    return sum(any(w.startswith(x) for x in ORG_STEMS if len(x) > 3 or w in short) for w in set(_words(t)) | short if w not in STOP or w in short) > 1
+
+
 def parse(raw: str | None) -> tuple[str, list[str], list[str]]:
     """('', [], []) for nothing, 'two' for two names, 'org' with its type stems and its own words, 'person'
     with the family name's words and the given names, 'open' with all words where their order is unknown."""
@@ -92,12 +100,10 @@ def parse(raw: str | None) -> tuple[str, list[str], list[str]]:
     if not t.strip() or plain(t).strip(" .") in I.SENTINELS:
         return "", [], []
     found = _words(t)
-    if any(ORG_SURE.match(w) for w in found) and not (t.count(",") == 1 and len(found) == 2):
+    if (any(ORG_SURE.match(w) for w in found) or _abbreviated(t)) and not (t.count(",") == 1 and len(found) == 2):
         kinds = sorted({s for w in found for s in [next((x for x in sorted(ORG_STEMS, key=len) if w.startswith(x)), None)] if s and w not in STOP})
         own = [w for w in found if w not in STOP and len(w) > 1 and not any(w.startswith(x) for x in ORG_STEMS)]
         return ("org", kinds, own) if own else ("", [], [])
-    if len(found) > 1 and re.match(r"^c d (et|etudes) mediev", " ".join(found)):
-        return "org", ["centr", "et", "mediev"], [w for w in found if w not in STOP and len(w) > 1 and not w.startswith(("mediev", "et"))]
     t = re.sub(r"\(?\b\d{3,4}\s*[-–.]+\s*(\d{3,4}|\.*)\)?|[\d*†]", " ", t)
     t = ROLES.sub(" ", t)
     t = re.sub(r"^[\s\[({]+|[\s\])}]+$", "", re.sub(r"\(\s*\)", "", t))
@@ -124,8 +130,10 @@ def parse(raw: str | None) -> tuple[str, list[str], list[str]]:
 
 
 def _typo(a: str, b: str) -> bool:
+    """Whether the ratio of the longest common subsequence to the longer word is that of one letter, of two in
+    long words, gone wrong."""
     n = max(len(a), len(b))
-    return n > 3 and osa(a, b, 2) <= (1 if n < 9 else 2) and 2 * lcs_length(a, b) >= 0.8 * (len(a) + len(b))
+    return n > 3 and lcs_length(a, b) / n >= 1 - (1 if n < 9 else 2) / n - 1e-9
 
 
 def given_like(a: list[str], b: list[str], known: set[str]) -> str:
@@ -184,14 +192,14 @@ def alike(a: tuple, b: tuple, known: set[str]) -> str:
     return best
 
 
-def _keys(kind: str, first: list[str], rest: list[str]) -> list[tuple[str, str, str, str]]:
-    """Index keys of a form: suffix, and three refinements of it."""
+def _keys(kind: str, first: list[str], rest: list[str]) -> list[tuple[str, str, str, str, str]]:
+    """Index keys of a form: suffix, two refinements of it, and the two names that the last step takes."""
     out = set()
     if kind == "org":
         for w in rest:
             for i in range(max(1, len(w) - SUFFIX + 1)):
                 s = w[i:]
-                out.add((s, f"{s}|{w[:2]}", f"{s}|{w[:4]}", f"{w}|{' '.join(sorted(first))}"))
+                out |= {(s, f"{s}|{w[:2]}", f"{s}|{w[:4]}", w, k[:2]) for k in first or [""]}
         return list(out)
     for family, given in _orders(kind, first, rest):
         f, g = "".join(family), given[0] if given else ""
@@ -199,15 +207,44 @@ def _keys(kind: str, first: list[str], rest: list[str]) -> list[tuple[str, str,
             continue
         for i in range(max(1, len(f) - SUFFIX + 1)):
             s = f[i:]
-            out.add((s, f"{s}|{g[:1]}", f"{s}|{g[:1]}|{f[:2]}", f"{f}|{g[:1]}"))
+            out.add((s, f"{s}|{g[:1]}", f"{s}|{g[:1]}|{f[:2]}", f, NICK.get(g, g)))
         for w in {g, NICK.get(g, g)}:
             if len(w) > 1:
                 for i in range(max(1, len(w) - SUFFIX + 1)):
                     s = w[i:]
-                    out.add((s, f"{s}|{f[:3]}", f"{s}|{f[:3]}|{w[:1]}", f"{w}|{f[:5]}"))
+                    out.add((s, f"{s}|{f[:3]}", f"{s}|{f[:3]}|{w[:1]}", f, w))
     return list(out)
 
 
+def _families(kind: str, first: list[str], rest: list[str]) -> list[str]:
+    """What a form's family name may be; the words of an organisation."""
+    return rest if kind == "org" else ["".join(f) for f, _ in _orders(kind, first, rest) if len("".join(f)) > 1]
+
+
+def _near(w):
+    """A word, and what is left of it without one letter, from nine letters on without two."""
+    def less(c):
+        return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), c.substr(i + 1, F.length(c))))
+
+    one = F.when(F.length(w) > 3, less(w)).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.length(w) > 8, F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(w), one, two))
+
+
+def hot_pairs(left: DataFrame) -> DataFrame:
+    """(a, b) of forms under common keys whose names, family and given, are alike. left: form, f, g."""
+    d = left.select("form", "f", "g").distinct()
+    key = lambda x, y: F.concat_ws("|", x, y)
+    keys = F.concat(F.transform(_near(F.col("f")), lambda x: key(x, F.col("g"))), F.transform(_near(F.col("g")), lambda y: key(F.col("f"), y)),
+                    F.flatten(F.transform(_near(F.col("f")), lambda x: F.transform(_near(F.col("g")), lambda y: key(x, y)))))
+    k = d.select("form", F.explode(F.array_distinct(keys)).alias("key")).distinct()
+    names = k.select("key", F.col("form").alias("a")).join(k.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b")
+    # a form of initials meets whoever it may stand for: there are few of them to a family name
+    letter = d.select("form", "f", F.substring("g", 1, 1).alias("i"), (F.length("g") < 2).alias("short"))
+    short = letter.where("short").select("f", "i", F.col("form").alias("p")).join(letter.select("f", "i", F.col("form").alias("q")), ["f", "i"]).where("p <> q")
+    return names.unionAll(short.select(F.least("p", "q"), F.greatest("p", "q"))).distinct()
+
+
 FORM = "kind string, first array<string>, rest array<string>"
 
 
@@ -229,18 +266,29 @@ def similar_forms(distinct: DataFrame, common: int = COMMON) -> DataFrame:
 
         for b in batches:
             rows = [(f, *k) for f, kind, first, rest in zip(b["form"], b["kind"], b["first"], b["rest"]) for k in _keys(kind, list(first), list(rest))]
-            yield pd.DataFrame(rows, columns=["form", "k0", "k1", "k2", "k3"])
+            yield pd.DataFrame(rows, columns=["form", "k0", "k1", "k2", "f", "g"])
 
-    keys = cut(distinct.mapInPandas(emit, "form bigint, k0 string, k1 string, k2 string, k3 string"))
-    left, chosen = keys, None
+    left, chosen, kept = cut(distinct.mapInPandas(emit, "form bigint, k0 string, k1 string, k2 string, f string, g string")), None, []
     for level in ("k0", "k1", "k2"):
-        n = left.groupBy(level).agg((F.count("*") <= common).alias("ok"))
+        kept.append(left)
+        n = left.select(level, "form").distinct().groupBy(level).agg((F.count("*") <= common).alias("ok"))
         judged = left.join(n, level)
         take = judged.where("ok").select("form", F.concat(F.lit(level), F.col(level)).alias("key"))
         chosen = take if chosen is None else chosen.unionAll(take)
-        left = cut(judged.where("NOT ok").select("form", "k0", "k1", "k2", "k3"))
-    chosen = cut(chosen.unionAll(left.select("form", F.concat(F.lit("k3"), F.col("k3")).alias("key"))).distinct())
-    pairs = chosen.select("key", F.col("form").alias("a")).join(chosen.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b").distinct()
+        left = cut(judged.where("NOT ok").select("form", "k0", "k1", "k2", "f", "g"))
+    chosen = cut(chosen.distinct())
+    discard(*kept)
+    pairs = chosen.select("key", F.col("form").alias("a")).join(chosen.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b").unionAll(hot_pairs(left)).distinct()
+
+    def name(batches: Iterator) -> Iterator:
+        for b in batches:
+            yield b[["form"]].assign(org=b["kind"] == "org", fam=[_families(kind, list(first), list(rest)) for kind, first, rest in zip(b["kind"], b["first"], b["rest"])])
+
+    # no ratio can be reached where Levenshtein's distance is beyond twice the letters that may be wrong
+    fam = distinct.mapInPandas(name, "form bigint, org boolean, fam array<string>")
+    may = lambda u, v: (u == v) | ((F.least(F.length(u), F.length(v)) > 2) & (F.call_function("levenshtein", u, v, F.when(F.greatest(F.length(u), F.length(v)) < 9, 2).otherwise(4)) >= 0))
+    pairs = pairs.join(fam.select(F.col("form").alias("a"), F.col("org").alias("ox"), F.col("fam").alias("fx")), "a").join(fam.select(F.col("form").alias("b"), F.col("org").alias("oy"), F.col("fam").alias("fy")), "b")
+    pairs = cut(pairs.where(F.col("ox") == F.col("oy")).where(F.exists("fx", lambda u: F.exists("fy", lambda v: may(u, v)))).select("a", "b"))
     # given names that are common aren't misspellings of each other: their counts come with the forms
     given = distinct.select("form", F.when(F.col("kind") == "person", F.try_element_at("rest", F.lit(1))).alias("g"))
     total = distinct.count()
@@ -296,5 +344,12 @@ def people(authors: DataFrame) -> DataFrame:
     return alternating_stars(chain_edges.select("a", "b").unionAll(name_edges))
 
 
+def groups(authors: DataFrame) -> DataFrame:
+    """(id, group_id, links) of every row of `people`: its person and the number of other rows it is linked to."""
+    g = people(authors)
+    return g.join(g.groupBy("group_id").agg((F.count("*") - 1).alias("links")), "group_id").select("id", "group_id", "links")
+
+
 def pairs(grouped: DataFrame) -> DataFrame:
+    """(id_a, id_b): all pairs of rows of one person, as the problem's statement wants them."""
     return grouped.select("group_id", F.col("id").alias("id_a")).join(grouped.select("group_id", F.col("id").alias("id_b")), "group_id").where("id_a < id_b").select("id_a", "id_b")

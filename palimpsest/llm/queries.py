@@ -63,6 +63,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.people(table(spark, d, "authors")))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.groups(table(spark, d, "authors"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repairs(table(spark, d, "corpus_propre")).select("doc_id", "idx")
 
@@ -103,7 +107,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 grp AS (SELECT a AS id, min(least(a, b)) AS group_id FROM reach GROUP BY a)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 SQL = {
     "p6_found": _GROUPS + "SELECT id, group_id FROM grp",
     "p1_found": _GROUPS + """SELECT g.group_id AS id,

@@ -202,6 +202,32 @@ def test_names():
     assert like("Academy of Aredonures Antiquities", "Acad. of Aredonures Antiq.") == "full" and like("Academy of Aredonures Antiquities", "Museo civico di Aredonures") == ""
 
 
+def test_the_common_subsequence_decides(monkeypatch):
+    """Words of one length with as many letters in place may be alike or not by the order of the rest."""
+    assert names._typo("dupontel", "dupnotel") and names._typo("dupontel", "dupontl") and not names._typo("dupontel", "dupantil") and names._typo("dupontelier", "dupantelir")
+    like = lambda: names.alike(names.parse("Dupontel, Jean"), names.parse("Dupnotel, Jean"), set())
+    assert like() == "full"
+    monkeypatch.setattr(names, "lcs_length", lambda a, b: 0)
+    assert like() == ""
+
+
+def test_abbreviated_organisations():
+    assert names.parse("C. d'Ét. médiév. de Romeford")[0] == "org" == names.parse("Centre d'études médiévales de Romeford")[0]
+    assert names.alike(names.parse("C. d'Ét. médiév. de Romeford"), names.parse("Centre d'études médiévales de Romeford"), set()) == "full"
+    assert names.parse("Dupont, J.-Cl.")[0] == "person" and names.parse("A. Et. Martin")[0] == "open"
+
+
+def test_hot_blocks_keep_variants(spark):
+    """More forms under one family name and letter than a block may have: edits and initials are still found."""
+    rnd = random.Random(21)
+    given = sorted({"j" + "".join(rnd.choice("aeioulnrst") for _ in range(6)) for _ in range(70)})
+    rows = [(i, "person", ["martinel"], [g]) for i, g in enumerate(given)] + [(500, "person", ["martnel"], [given[3]]), (501, "person", ["martinel"], ["j"]), (502, "person", ["martinel"], [given[5][:3] + given[5][4:]])]
+    d = spark.createDataFrame(rows, f"form long, {names.FORM}")
+    for common in (3, 1000):
+        got = {(r.a, r.b, r.how) for r in names.similar_forms(d, common).collect()}
+        assert {(3, 500, "full"), (3, 501, "initial"), (5, 502, "full")} <= got and sum(how == "initial" for _, _, how in got) >= len(given)
+
+
 def test_people(spark):
     cols = "id long, NomComplet string, PPN_IDREF string, PPN_VIAF string, orcid string, isni string, bnf string"
     rows = [(1, "Dupontel, Jean", "026927608", None, None, None, None), (2, "Jean Dupontel", None, None, None, None, None), (3, "Martinov, A.", "26927608", None, None, None, None), (4, "Homonyme, Paul", "026927608", "11111111", None, None, None),
