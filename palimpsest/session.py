@@ -74,6 +74,19 @@ def sieve(df: DataFrame, column: str, most: int = 1 << 22) -> Callable[[Column],
     return test
 
 
+def partitions(df: DataFrame, copies: int = 1, each: int = 64 << 20) -> int:
+    """A number of partitions that follows the bytes of df (what a cut wrote, else what the plan reads) times
+    `copies`, and gives every core some work."""
+    files = getattr(df, "_files", None)
+    if files is not None and files.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files.get())
+        size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    else:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = 0 if size >= 1 << 60 else size  # not known
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, copies * size // each + 1)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores, for Python work on a few large files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
