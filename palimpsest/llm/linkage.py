@@ -6,11 +6,15 @@ row is compared with the rows of the other source within a window. Pairs that nu
 part get a confidence from weighted similarities of title, host, year and authors; an assignment of at most
 one partner to each row then maximises the total confidence.
 
-The order is a range partitioning, its ranks come from the sizes of the partitions; a window reaches over
-the border of partitions by blocks of ranks. The work grows with the rows, whatever the keys' frequencies:
-of equal keys the further fields decide the order. Authors are compared by joins, not by collected lists.
-The assignment solves each component of candidate pairs; in a component of more than `exact` pairs, pairs
-that are the best of both their ends are taken in rounds, which a join does.
+Rows of one source that are equal in all that is compared, authors included, are one class with a capacity
+before any pair is made: copies neither fill windows nor enlarge components. The order is a range
+partitioning, its ranks come from the sizes of the partitions; a window reaches over the border of partitions
+by blocks of ranks. The work grows with the rows, whatever the keys' frequencies: of equal keys the further
+fields decide the order. A pair goes on if the titles share words of a third of the shorter one's letters or
+are within a fifth of edits of each other; this is tested natively in the window, before pairs are shuffled.
+Authors are compared by joins, not by collected lists. The assignment is exact for every component of
+candidate pairs, by shortest augmenting paths over its sparse pairs with the classes' capacities; a component
+is the work of one task and holds distinct records only, of which none has more than 100 pairs.
 
 Defined results: a row without a title matches nothing; a missing host, year or author doesn't speak against
 a match and lowers its confidence; repeated ids count once; empty tables give no rows.
@@ -20,11 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
-from ..session import cut
+from ..session import cut, partitions
 from .components import alternating_stars
 from .names import NICK, parse
 from .publications import GENERIC, host_likeness, host_of, title_likeness, title_of
@@ -37,7 +41,7 @@ SCHEMA = "id string, src int, words array<string>, host array<string>, numbers s
 
 def parallel(df: DataFrame, *keys: str) -> DataFrame:
     """df partitioned by keys for Python work on every core; a distinct on them needs no further shuffle."""
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(partitions(df), *keys)
 
 
 def records(df: DataFrame, src: int) -> DataFrame:
@@ -72,27 +76,37 @@ def authors(df: DataFrame) -> DataFrame:
     return parallel(df.where("id IS NOT NULL AND name IS NOT NULL"), "id", "name").distinct().mapInPandas(run, "id string, family string, letter string").distinct()
 
 
-def _ordered(keyed: DataFrame) -> DataFrame:
-    """keyed with its rank in the order of pass, key, src and id, cut."""
-    parts = keyed.sparkSession.sparkContext.defaultParallelism
-    s = cut(keyed.repartitionByRange(parts, "pass", "key", "src", "id").sortWithinPartitions("pass", "key", "src", "id").withColumn("at", F.monotonically_increasing_id()))
-    s = s.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = sorted((r.part, r["count"]) for r in s.groupBy("part").count().collect())  # one row for each partition
+def _ranked(df: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """df with its global rank by `order`, cut: a range partitioning and the sizes of its partitions."""
+    s = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    s = s.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted((r._part, r["count"]) for r in s.groupBy("_part").count().collect())  # one row for each partition
     total, offsets = 0, []
     for p, n in sizes:
         offsets.append((p, total))
         total += n
-    before = F.broadcast(keyed.sparkSession.createDataFrame(offsets or [(0, 0)], "part bigint, before bigint"))  # one row for each partition
-    return s.join(before, "part").select("pass", "src", "id", (F.col("at") + F.col("before")).alias("rank"))
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part bigint, _before bigint"))  # one row for each partition
+    return s.join(before, "_part").withColumn("rank", F.col("_at") + F.col("_before")).drop("_at", "_part", "_before")
+
+
+def classes(both: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, id, rep, n) of every record: the smallest id of those that are equal to it, and their number. names:
+    src, id, family, letter."""
+    who = names.groupBy("src", "id").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("family", "letter")).alias("x"))
+    same = [F.array_join("words", " "), F.array_join("host", " "), F.col("numbers"), F.col("review"), F.col("generic"), F.col("year"), F.col("c"), F.col("x")]
+    keyed = both.join(who, ["src", "id"], "left").select("src", "id", F.xxhash64(*same).alias("k"), F.xxhash64(F.lit(1), *same).alias("k2"))
+    reps = keyed.groupBy("src", "k", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    return keyed.join(reps, ["src", "k", "k2"]).select("src", "id", "rep", "n")
 
 
 def candidates(both: DataFrame, names: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(l, r) pairs of a row of source 0 and one of source 1 within a window of some order."""
+    """(l, r) pairs of a row of source 0 and one of source 1 within a window of some order that numbers, year,
+    kind and the letters of the titles don't part. names: src, id, family, letter."""
     word = both.select("id", "src", F.explode("words").alias("w")).where(F.length("w") > 2)
     df = word.groupBy("w").agg(F.count("*").alias("n"))
     rare = word.join(df, "w").groupBy("id", "src").agg(F.slice(F.array_sort(F.collect_set(F.struct("n", "w"))), 1, 3).alias("rare"))
-    one = names.groupBy("id").agg(F.min(F.concat_ws(" ", "family", "letter")).alias("author"))
-    k = both.join(rare, ["id", "src"], "left").join(one, "id", "left")
+    one = names.groupBy("src", "id").agg(F.min(F.concat_ws(" ", "family", "letter")).alias("author"))
+    k = both.join(rare, ["id", "src"], "left").join(one, ["src", "id"], "left")
     w = [F.coalesce(F.get("rare", F.lit(i))["w"], F.lit("")) for i in range(3)]
     year = F.coalesce(F.col("year").cast("string"), F.lit(""))
     host = F.array_join("host", " ")
@@ -107,21 +121,25 @@ def candidates(both: DataFrame, names: DataFrame, window: int = WINDOW) -> DataF
         F.concat_ws("|", F.reverse(host), year, w[0], core),
     ]
     passes = F.explode(F.transform(F.array(*[F.struct(F.lit(i).alias("pass"), F.when(F.col("generic") & F.lit(i < 3), F.concat(F.lit(f"{i}"), generic_key)).otherwise(x).alias("key")) for i, x in enumerate(keys)]), lambda x: x)).alias("p")
-    s = _ordered(k.select("id", "src", passes).select("id", "src", "p.pass", "p.key"))
+    must = F.xxhash64("numbers", "review", "generic").alias("must")
+    keyed = k.select("id", "src", "words", "year", must, passes).select("id", "src", "words", "year", "must", "p.pass", "p.key")
+    s = _ranked(keyed.withColumn("h", F.xxhash64("id", "src")), ["pass", "key", "h", "src", "id"], partitions(both, 2 * len(keys)))
     block = F.floor(F.col("rank") / window)
-    left = s.where("src = 0").select("pass", F.col("id").alias("l"), F.col("rank").alias("x"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = s.where("src = 1").select("pass", F.col("id").alias("r"), F.col("rank").alias("y"), block.alias("block"))
-    return left.join(right, ["pass", "block"]).where(F.abs(F.col("x") - F.col("y")) <= window).select("l", "r").distinct()
+    left = s.where("src = 0").select("pass", F.col("id").alias("l"), F.col("rank").alias("x"), F.col("words").alias("wx"), F.col("year").alias("yx"), F.col("must").alias("mx"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = s.where("src = 1").select("pass", F.col("id").alias("r"), F.col("rank").alias("y"), F.col("words").alias("wy"), F.col("year").alias("yy"), F.col("must").alias("my"), block.alias("block"))
+    near = left.join(right, ["pass", "block"]).where((F.abs(F.col("x") - F.col("y")) <= window) & (F.col("mx") == F.col("my")) & F.coalesce(F.abs(F.col("yx") - F.col("yy")) <= 1, F.lit(True)))
+    tx, ty = F.array_join("wx", ""), F.array_join("wy", "")
+    shared = F.length(F.array_join(F.array_intersect("wx", "wy"), ""))
+    longer = F.greatest(F.length(tx), F.length(ty))
+    return near.where((shared * 3 >= F.least(F.length(tx), F.length(ty))) | (F.call_function("levenshtein", tx, ty, (longer * F.lit(0.2)).cast("int")) >= 0)).select("l", "r").distinct()
 
 
 def confidences(both: DataFrame, names_l: DataFrame, names_r: DataFrame, pairs: DataFrame) -> DataFrame:
     """(l, r, confidence) of the pairs that may be one publication."""
     def side(src: int, p: str) -> DataFrame:
-        return both.where(F.col("src") == src).select(F.col("id").alias(p), F.col("words").alias(p + "w"), F.col("host").alias(p + "h"), F.col("numbers").alias(p + "n"), F.col("review").alias(p + "v"), F.col("generic").alias(p + "g"), F.col("year").alias(p + "y"))
+        return both.where(F.col("src") == src).select(F.col("id").alias(p), F.col("words").alias(p + "w"), F.col("host").alias(p + "h"), F.col("generic").alias(p + "g"), F.col("year").alias(p + "y"))
 
-    p = pairs.join(side(0, "l"), "l").join(side(1, "r"), "r").where(
-        (F.col("ln") == F.col("rn")) & (F.col("lv") == F.col("rv")) & (F.col("lg") == F.col("rg")) & F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= 1, F.lit(True))
-    )
+    p = pairs.join(side(0, "l"), "l").join(side(1, "r"), "r").repartition(partitions(both), "l", "r")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
@@ -153,69 +171,128 @@ def confidences(both: DataFrame, names_l: DataFrame, names_r: DataFrame, pairs:
     return c.select("l", "r", F.round(score * (0.85 + 0.15 * known), 6).alias("confidence"), "lg", "long", "title", "host", F.col("same"))
 
 
-def best_assignment(weights: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
-    """Pairs with at most one partner each and the largest total, by shortest augmenting paths."""
-    ls, rs = sorted({a for a, _ in weights}), sorted({b for _, b in weights})
-    flip = len(ls) > len(rs)
-    if flip:
-        ls, rs = rs, ls
-    w = {((b, a) if flip else (a, b)): x for (a, b), x in weights.items()}
-    n, m = len(ls), len(rs) + len(ls)  # a row may also stay alone
-    cost = [[-w.get((a, rs[j]), 0.0) if j < len(rs) else 0.0 for j in range(m)] for a in ls]
-    u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        low, used = [1e18] * (m + 1), [False] * (m + 1)
-        while True:
-            used[j0] = True
-            i0, delta, j1 = match[j0], 1e18, 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if cur < low[j]:
-                        low[j], way[j] = cur, j0
-                    if low[j] < delta:
-                        delta, j1 = low[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
+def best_assignment(weights: dict[tuple[str, str], float], left: dict[str, int] | None = None, right: dict[str, int] | None = None) -> dict[tuple[str, str], int]:
+    """How often each pair is made in an assignment of the largest total. left, right: how many partners a row may
+    have, else one. Shortest augmenting paths with potentials over the sparse pairs; a search ends at the first
+    row with room, or where staying alone costs less."""
+    import heapq
+
+    left, right = left or {}, right or {}
+    cost: dict[str, list[tuple[str, int]]] = {}
+    for (a, b), x in sorted(weights.items()):
+        cost.setdefault(a, []).append((b, -round(x * 1e6)))
+    pl = {a: max(-c for _, c in e) for a, e in cost.items()}  # potentials; those of the other side start at 0
+    pr: dict[str, int] = {}
+    room = {b: right.get(b, 1) for e in cost.values() for b, _ in e}
+    flow: dict[tuple[str, str], int] = {}
+    into: dict[str, set[str]] = {}
+    w = {(a, b): c for a, e in cost.items() for b, c in e}
+    for source in cost:
+        supply = left.get(source, 1)
+        while supply:
+            seen_l: dict[str, int] = {}
+            seen_r: dict[str, int] = {}
+            back_l: dict[str, str] = {}
+            best_r: dict[str, tuple[int, str]] = {}
+            heap: list[tuple[int, int, str]] = [(0, 1, source)]
+            low_l = {source: 0}
+            end, total = None, None  # the end of the path: a row with room (0) or one that stays alone (1)
+            while heap:
+                d, side, x = heapq.heappop(heap)
+                if end is not None and d >= total:
+                    break
+                if side:
+                    if x in seen_l or d > low_l[x]:
+                        continue
+                    seen_l[x] = d
+                    alone = d + pl[x]
+                    if total is None or alone < total:
+                        end, total = (1, x), alone
+                    for b, c in cost[x]:
+                        if b not in seen_r:
+                            v = d + c + pl[x] - pr.get(b, 0)
+                            if b not in best_r or v < best_r[b][0]:
+                                best_r[b] = (v, x)
+                                heapq.heappush(heap, (v, 0, b))
                 else:
-                    low[j] -= delta
-            j0 = j1
-            if not match[j0]:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = [(ls[match[j] - 1], rs[j - 1]) for j in range(1, len(rs) + 1) if match[j]]
-    out = [p for p in out if w.get(p, 0.0) > 0]
-    return [(b, a) for a, b in out] if flip else out
-
-
-def assign(edges: DataFrame, exact: int = 2000) -> DataFrame:
-    """(l, r, confidence): one-to-one, the largest total of each component. edges: l, r, confidence."""
-    e = cut(edges.select("l", "r", "confidence", F.xxhash64(F.lit(0), "l").alias("a"), F.xxhash64(F.lit(1), "r").alias("b")))
+                    if x in seen_r or d > best_r[x][0]:
+                        continue
+                    seen_r[x] = d
+                    if room[x]:
+                        if d + pr.get(x, 0) < total:
+                            end, total = (0, x), d + pr.get(x, 0)
+                    for a in into.get(x, ()):
+                        v = d - w[a, x] + pr.get(x, 0) - pl[a]
+                        if a not in seen_l and (a not in low_l or v < low_l[a]):
+                            low_l[a], back_l[a] = v, x
+                            heapq.heappush(heap, (v, 1, a))
+            for x, d in seen_l.items():
+                pl[x] += min(d, total) - total
+            for x, d in seen_r.items():
+                pr[x] = pr.get(x, 0) + min(d, total) - total
+            # back along the path: pairs that are made, and between them pairs that are given up
+            side, x = end
+            made, given = [], []
+            while True:
+                if not side:
+                    a = best_r[x][1]
+                    made.append((a, x))
+                    x, side = a, 1
+                elif x == source:
+                    break
+                else:
+                    b = back_l[x]
+                    given.append((x, b))
+                    x, side = b, 0
+            k = min([supply, *([room[end[1]]] if not end[0] else []), *(flow[p] for p in given)])
+            supply -= k
+            if not end[0]:
+                room[end[1]] -= k
+            for a, b in given:
+                flow[a, b] -= k
+                if not flow[a, b]:
+                    del flow[a, b]
+                    into[b].discard(a)
+            for a, b in made:
+                flow[a, b] = flow.get((a, b), 0) + k
+                into.setdefault(b, set()).add(a)
+    return flow
+
+
+def assign(edges: DataFrame) -> DataFrame:
+    """(l, r, confidence, k): the assignment of the largest total, pair (l, r) k times. edges: l, r, confidence,
+    nl, nr, how many partners each end may have."""
+    e = cut(edges.select("l", "r", "confidence", "nl", "nr", F.xxhash64(F.lit(0), "l").alias("a"), F.xxhash64(F.lit(1), "r").alias("b")))
     groups = alternating_stars(e.select("a", "b"))
     sized = e.join(groups.select(F.col("id").alias("a"), "group_id"), "a")
     n = sized.groupBy("group_id").agg(F.count("*").alias("n"))
-    sized = cut(sized.join(n, "group_id").select("l", "r", "confidence", "group_id", "n"))
-    done = sized.where("n = 1").select("l", "r", "confidence")
+    sized = cut(sized.join(n, "group_id").select("l", "r", "confidence", "nl", "nr", "group_id", "n"))
+    schema = "l string, r string, confidence double, k bigint"
 
     def solve(pdf):
-        w = {(a, b): float(x) for a, b, x in zip(pdf["l"], pdf["r"], pdf["confidence"])}
         import pandas as pd
 
-        return pd.DataFrame([(a, b, w[a, b]) for a, b in best_assignment(w)], columns=["l", "r", "confidence"])
+        w = {(a, b): float(x) for a, b, x in zip(pdf["l"], pdf["r"], pdf["confidence"])}
+        made = best_assignment(w, dict(zip(pdf["l"], map(int, pdf["nl"]))), dict(zip(pdf["r"], map(int, pdf["nr"]))))
+        return pd.DataFrame([(a, b, w[a, b], k) for (a, b), k in made.items()], columns=["l", "r", "confidence", "k"])
+
+    done = sized.where("n = 1").select("l", "r", "confidence", F.least("nl", "nr").alias("k"))
+    return done.unionAll(sized.where("n > 1").groupBy("group_id").applyInPandas(solve, schema))
+
 
-    done = done.unionAll(sized.where(F.col("n").between(2, exact)).groupBy("group_id").applyInPandas(solve, "l string, r string, confidence double"))
-    rest = cut(sized.where(F.col("n") > exact).select("l", "r", "confidence"))
-    while not rest.isEmpty():
-        order = F.struct("confidence", F.xxhash64("l", "r"), "l", "r")
-        tops = rest.groupBy("l").agg(F.max(order).alias("t")).select("t.l", "t.r").join(rest.groupBy("r").agg(F.max(order).alias("t")).select("t.l", "t.r"), ["l", "r"])
-        taken = cut(rest.join(tops, ["l", "r"]))
-        done = done.unionAll(taken.select("l", "r", "confidence"))
-        rest = cut(rest.join(taken.select("l"), "l", "left_anti").join(taken.select("r"), "r", "left_anti").select("l", "r", "confidence"))
-    return done
+def expand(made: DataFrame, members: DataFrame) -> DataFrame:
+    """(l, r, confidence) of records, from pairs of classes that are made k times: the members of a class in the
+    order of their ids go to its partners in theirs. members: src, id, rep."""
+    made = cut(made)
+    before = lambda side, other: F.coalesce(F.sum("k").over(Window.partitionBy(side).orderBy(other).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    made = made.withColumn("ol", before("l", "r")).withColumn("or", before("r", "l"))  # a class has few partners
+    used = made.select(F.lit(0).alias("src"), F.col("l").alias("rep")).unionAll(made.select(F.lit(1), "r")).distinct()
+    ranked = _ranked(members.join(used, ["src", "rep"], "left_semi").select("src", "id", "rep"), ["src", "rep", "id"], partitions(members))
+    start = ranked.groupBy("src", "rep").agg(F.min("rank").alias("start"))
+    at = cut(ranked.join(start, ["src", "rep"]).select("src", "rep", "id", (F.col("rank") - F.col("start")).alias("i")))
+    left = made.join(at.where("src = 0").select(F.col("rep").alias("l"), F.col("id").alias("lid"), "i"), "l").where("i >= ol AND i < ol + k").select("lid", "r", "confidence", (F.col("i") - F.col("ol") + F.col("or")).alias("i"))
+    right = at.where("src = 1").select(F.col("rep").alias("r"), F.col("id").alias("rid"), "i")
+    return left.join(right, ["r", "i"]).select(F.col("lid").alias("l"), F.col("rid").alias("r"), "confidence")
 
 
 def link(reference: DataFrame, ecriture: DataFrame, author_table: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -232,6 +309,12 @@ def link(reference: DataFrame, ecriture: DataFrame, author_table: DataFrame, ite
     string = F.when(string.rlike(r"^[^,;\s]+(\s+[^,;\s]+)+(\s*[,;]\s*[^,;\s]+(\s+[^,;\s]+)+)+$"), F.regexp_replace(string, ",", ";")).otherwise(string)
     loose = items.where("creators IS NULL OR size(creators) = 0").select(F.col("item_id").alias("id"), F.explode(F.split(string, r"\s*;\s*")).alias("name"))
     names_r = cut(authors(listed.unionAll(loose)))
-    pairs = candidates(both, names_l.unionAll(names_r))
-    c = confidences(both, names_l, names_r, pairs)
-    return assign(c.where(F.col("confidence") >= least)).select(F.col("l").cast("bigint").alias("reference_id"), F.col("r").alias("item_id"), "confidence")
+    names = names_l.withColumn("src", F.lit(0)).unionByName(names_r.withColumn("src", F.lit(1)))
+    members = cut(classes(both, names))
+    reps = members.where("id = rep").select("src", "id", "n")
+    both = cut(both.join(reps.select("src", "id"), ["src", "id"], "left_semi"))
+    pairs = candidates(both, names.join(reps.select("src", "id"), ["src", "id"], "left_semi"))
+    c = confidences(both, names_l, names_r, pairs).where(F.col("confidence") >= least)
+    size = lambda src, to, n: reps.where(F.col("src") == src).select(F.col("id").alias(to), F.col("n").alias(n))
+    made = assign(c.select("l", "r", "confidence").join(size(0, "l", "nl"), "l").join(size(1, "r", "nr"), "r"))
+    return expand(made, members).select(F.col("l").cast("bigint").alias("reference_id"), F.col("r").alias("item_id"), "confidence")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import datetime
 import random
+from functools import lru_cache
 from itertools import permutations
 from pathlib import Path
 
@@ -278,27 +279,42 @@ def test_titles():
     assert publications.host_likeness(publications.host_of("Ann. de protohistoire"), publications.host_of("Annales de protohistoire")) == 1.0
 
 
+def total(left, right, w):
+    """The largest total of an assignment, by trying all."""
+    ls, rs = [a for a, n in left.items() for _ in range(n)], [b for b, n in right.items() for _ in range(n)]
+
+    @lru_cache(None)
+    def go(i, used):
+        if i == len(ls):
+            return 0.0
+        return max([go(i + 1, used)] + [w[ls[i], rs[j]] + go(i + 1, used | 1 << j) for j in range(len(rs)) if not used >> j & 1 and (ls[i], rs[j]) in w])
+
+    return go(0, 0)
+
+
 def test_assignment_is_best():
     rnd = random.Random(3)
-    for _ in range(60):
-        ls, rs = [f"l{i}" for i in range(rnd.randint(1, 4))], [f"r{i}" for i in range(rnd.randint(1, 4))]
-        w = {(a, b): round(rnd.random(), 3) + 0.01 for a in ls for b in rs if rnd.random() < 0.7}
-        if not w:
-            continue
-        small, large, flip = (ls, rs, False) if len(ls) <= len(rs) else (rs, ls, True)
-        best = 0.0
-        for p in permutations(large + [None] * len(small), len(small)):
-            best = max(best, sum(w.get((b, a) if flip else (a, b), 0) for a, b in zip(small, p)))
-        got = linkage.best_assignment(w)
-        assert len({a for a, _ in got}) == len(got) == len({b for _, b in got})
-        assert abs(sum(w[p] for p in got) - best) < 1e-9
-
-
-def test_large_components_are_assigned_one_to_one(spark):
+    for _ in range(400):
+        left, right = {f"l{i}": rnd.choice([1, 1, 1, 2, 3]) for i in range(rnd.randint(1, 4))}, {f"r{i}": rnd.choice([1, 1, 2]) for i in range(rnd.randint(1, 4))}
+        w = {(a, b): round(rnd.choice([rnd.random(), 0.5, 0.7]), 3) + 0.01 for a in left for b in right if rnd.random() < 0.7}
+        got = linkage.best_assignment(w, left, right)
+        assert all(sum(k for p, k in got.items() if p[0] == a) <= n for a, n in left.items()) and all(sum(k for p, k in got.items() if p[1] == b) <= n for b, n in right.items())
+        assert abs(sum(w[p] * k for p, k in got.items()) - total(left, right, w)) < 1e-6
+
+
+def test_assignment_of_a_large_component():
     rnd = random.Random(4)
-    e = [(f"l{i}", f"r{j}", round(rnd.random(), 6)) for i in range(8) for j in range(8)]
-    got = linkage.assign(spark.createDataFrame(e, "l string, r string, confidence double"), exact=10).collect()
-    assert len(got) == 8 == len({r.l for r in got}) == len({r.r for r in got})
+    w = {(f"l{i}", f"r{(i + j) % 5000}"): round(0.9 + 0.00001 * rnd.randrange(5), 6) for i in range(5000) for j in range(10)}
+    got = linkage.best_assignment(w)
+    assert len(w) == 50000 and len(got) == 5000 and set(got.values()) == {1} and len({a for a, _ in got}) == 5000 == len({b for _, b in got})
+
+
+def test_copies_are_assigned_as_a_class(spark):
+    e = spark.createDataFrame([("a", "x", 0.9, 3, 2), ("a", "y", 0.8, 3, 1), ("b", "x", 0.7, 1, 2)], "l string, r string, confidence double, nl long, nr long")
+    made = linkage.assign(e)
+    assert {tuple(r) for r in made.collect()} == {("a", "x", 0.9, 2), ("a", "y", 0.8, 1)}
+    members = spark.createDataFrame([(0, "a", "a"), (0, "a2", "a"), (0, "a3", "a"), (0, "b", "b"), (1, "x", "x"), (1, "x2", "x"), (1, "y", "y")], "src int, id string, rep string")
+    assert {tuple(r) for r in linkage.expand(made, members).collect()} == {("a", "x", 0.9), ("a2", "x2", 0.9), ("a3", "y", 0.8)}
 
 
 def test_linkage_empty(spark):
