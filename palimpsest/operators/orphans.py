@@ -1,20 +1,20 @@
 """References to records that do not exist, kept incrementally.
 
-State, three tables:
+State, two logs, of which the last version of a row counts:
 
 * index: what is known of each parent key - ``target, key, present, listed, added``;
-* links: every reference that was probed - ``id, target, field, key, at, state``;
-* the snapshot of counts is an aggregate of links.
+* links: every reference that was probed - ``id, target, field, key, at, state``, and the state it had before.
 
 ``advance`` takes one increment of new references, parents that arrived and parents that were
 removed. New references probe the index; an arriving parent resolves the orphans that wait under its
 key (or marks them late); a removal reopens the references it leaves behind. Only references whose
-key the increment touches are judged again, the others keep their state.
+key the increment touches are judged again, and only rows that change are written: an increment appends
+to the logs, nothing is rewritten. ``history`` adds up the changes to the counts after every increment.
 
 Defined results: references with a null key are no cases. A null date on either side never makes a
 reference late. Parents given twice count once, with their earliest date; a parent that arrives and
 is removed in one increment is present (the row was put back). Empty tables give empty tables. The
-same link under two ids is two links. Other columns of the inputs are ignored.
+same link under two ids is two links; one id given twice is one link. Other columns of the inputs are ignored.
 
 Scale: parents are one row per key; a hot key holds many links but a single index row, so that joins
 of links with the index can be split by AQE on the link side, and nothing groups the links of a key.
@@ -23,19 +23,35 @@ of links with the index can be split by AQE on the link side, and nothing groups
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX = "target string, key bigint, present boolean, listed boolean, added timestamp"
-LINKS = "id bigint, target string, field string, key bigint, at timestamp, state string"
+INDEX = "target string, key bigint, present boolean, listed boolean, added timestamp, seq int"
+LINKS = "id bigint, target string, field string, key bigint, at timestamp, state string, was string, seq int"
+
+
+def _last(log: DataFrame, *keys: str) -> DataFrame:
+    """The last version of every row of a log."""
+    rest = [c for c in log.columns if c not in keys]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("_v"))
+    return best.select(*keys, *[F.col("_v")[c].alias(c) for c in rest])
 
 
 @dataclass
 class OrphanState:
-    index: DataFrame
-    links: DataFrame
+    index_log: DataFrame
+    link_log: DataFrame
+    seq: int = 0
+    counted: DataFrame | None = None  # changes of counts by increments that compact() left out of the log
+
+    @property
+    def index(self) -> DataFrame:
+        return _last(self.index_log, "target", "key").drop("seq")
+
+    @property
+    def links(self) -> DataFrame:
+        return _last(self.link_log, "id", "field").select("id", "target", "field", "key", "at", "state")
 
 
 def empty_state(spark: SparkSession) -> OrphanState:
@@ -54,9 +70,10 @@ def _state() -> Column:
     return F.when(present & late, "late").when(present, "ok").when(F.coalesce(F.col("listed"), F.lit(False)), "deleted").otherwise("missing")
 
 
-def advance(state: OrphanState, links: DataFrame, parents: DataFrame, removed: DataFrame) -> OrphanState:
+def advance(state: OrphanState, links: DataFrame, parents: DataFrame, removed: DataFrame, keep=lambda df: df) -> OrphanState:
     """The state after one increment. links: as references() gives them; parents: target, key, added;
-    removed: target, key."""
+    removed: target, key. keep cuts the lineage of what the increment adds."""
+    seq = state.seq + 1
     came = parents.select("target", "key", F.lit(True).alias("came"), F.lit(False).alias("gone"), F.col("added"))
     went = removed.select("target", "key", F.lit(False).alias("came"), F.lit(True).alias("gone"), F.lit(None).cast("timestamp").alias("added"))
     delta = (
@@ -64,18 +81,42 @@ def advance(state: OrphanState, links: DataFrame, parents: DataFrame, removed: D
         .agg(F.max("came").alias("came"), F.max("gone").alias("gone"), F.min("added").alias("came_at"))
     )
     no = F.lit(False)
-    index = state.index.join(delta, ["target", "key"], "full").select(
-        "target", "key",
+    fresh = links.dropDuplicates(["id", "field"]).select("id", "target", "field", "key", "at", F.lit(None).cast("string").alias("was"))
+    asked = delta.select("target", "key", "came", "gone", "came_at", F.lit(True).alias("touched")).join(fresh.select("target", "key").distinct(), ["target", "key"], "full")
+    before = _last(state.index_log.join(asked.select("target", "key"), ["target", "key"], "left_semi"), "target", "key").drop("seq")
+    known = asked.join(before, ["target", "key"], "left").select(
+        "target", "key", F.coalesce("touched", no).alias("touched"),
         F.coalesce(F.col("came") | (F.coalesce("present", no) & ~F.col("gone")), F.col("present")).alias("present"),
         (F.coalesce("listed", no) | F.coalesce("gone", no)).alias("listed"),
         F.when(F.col("came") & F.coalesce("present", no), F.least("added", "came_at")).when(F.col("came"), F.col("came_at")).otherwise(F.col("added")).alias("added"),
     )
     touched = delta.select("target", "key")
-    again = state.links.drop("state").join(touched, ["target", "key"], "left_semi")
-    kept = state.links.join(touched, ["target", "key"], "left_anti")
-    probed = links.select("id", "target", "field", "key", "at").unionByName(again.select("id", "target", "field", "key", "at"))
-    judged = probed.join(index, ["target", "key"], "left").select("id", "target", "field", "key", "at", _state().alias("state"))
-    return OrphanState(index, kept.select(*judged.columns).unionByName(judged))
+    again = _last(state.link_log.join(touched, ["target", "key"], "left_semi"), "id", "field").select("id", "target", "field", "key", "at", F.col("state").alias("was"))
+    judged = fresh.unionByName(again).join(known, ["target", "key"], "left").select("id", "target", "field", "key", "at", _state().alias("state"), "was").where("was IS NULL OR was <> state")
+    # both logs grow by one result, so that an increment is one job
+    null = lambda t: F.lit(None).cast(t)
+    rows = known.where("touched").select("target", "key", "present", "listed", "added", null("bigint").alias("id"), null("string").alias("field"), null("timestamp").alias("at"), null("string").alias("state"), null("string").alias("was"))
+    rows = keep(rows.unionByName(judged.select("target", "key", null("boolean").alias("present"), null("boolean").alias("listed"), null("timestamp").alias("added"), "id", "field", "at", "state", "was")).withColumn("seq", F.lit(seq)))
+    return OrphanState(
+        state.index_log.unionByName(rows.where("field IS NULL").select("target", "key", "present", "listed", "added", "seq")),
+        state.link_log.unionByName(rows.where("field IS NOT NULL").select("id", "target", "field", "key", "at", "state", "was", "seq")), seq, state.counted,
+    )
+
+
+def _changes(links: DataFrame) -> DataFrame:
+    month = F.date_format("at", "yyyy-MM").alias("month")
+    change = F.explode(F.array(F.struct(F.col("was").alias("state"), F.lit(-1).alias("d")), F.struct(F.col("state").alias("state"), F.lit(1).alias("d")))).alias("c")
+    return links.where("was IS NULL OR was <> state").select("seq", "field", month, change).where("c.state IS NOT NULL AND c.state <> 'ok'").groupBy("seq", "field", "month", "c.state").agg(F.sum("c.d").alias("d"))
+
+
+def compact(state: OrphanState, keep=lambda df: df) -> OrphanState:
+    """The same state with the last versions only, so that logs of many increments are read as one."""
+    counted = _changes(state.link_log)
+    if state.counted is not None:
+        counted = counted.unionByName(state.counted)
+    counted = keep(counted)
+    links = state.links.withColumn("was", F.col("state")).withColumn("seq", F.lit(state.seq))
+    return OrphanState(keep(state.index.withColumn("seq", F.lit(state.seq))), keep(links), state.seq, counted)
 
 
 def orphans(state: OrphanState) -> DataFrame:
@@ -88,6 +129,16 @@ def snapshot(state: OrphanState) -> DataFrame:
     return state.links.groupBy("field", month, "state").agg(F.count("*").alias("n")).where("state <> 'ok'")
 
 
+def history(state: OrphanState) -> DataFrame:
+    """(seq, field, month, state, n): the counts of ``snapshot`` after every increment, from the changes of all."""
+    changes = _changes(state.link_log)
+    if state.counted is not None:
+        changes = changes.unionByName(state.counted)
+    # a change counts in its increment and all later ones; there are months x states x increments of them
+    later = changes.select(F.explode(F.sequence(F.col("seq"), F.lit(state.seq))).alias("seq"), "field", "month", "state", "d")
+    return later.groupBy("seq", "field", "month", "state").agg(F.sum("d").alias("n")).where("n > 0")
+
+
 def increments(links: DataFrame, parents: DataFrame, removed: DataFrame, cuts: list) -> list[tuple]:
     """The inputs split at the given times, each increment up to and with its time; undated rows come
     first. removed needs a column removed_at."""
@@ -101,10 +152,12 @@ def increments(links: DataFrame, parents: DataFrame, removed: DataFrame, cuts: l
     return [(part(links, "at", a, b), part(parents, "added", a, b), part(removed, "removed_at", a, b).select("target", "key")) for a, b in zip(edges, edges[1:])]
 
 
-def replay(spark: SparkSession, steps: list[tuple], keep=lambda df: df) -> OrphanState:
-    """All increments one after the other; keep cuts the lineage between them."""
-    def one(s: OrphanState, step: tuple) -> OrphanState:
-        s = advance(s, *step)
-        return OrphanState(keep(s.index), keep(s.links))
-
-    return reduce(one, steps, empty_state(spark))
+def replay(spark: SparkSession, steps: list[tuple], keep=lambda df: df, every: int = 6) -> OrphanState:
+    """All increments one after the other; keep cuts the lineage between them, and once in `every` increments
+    the logs are compacted."""
+    state = empty_state(spark)
+    for step in steps:
+        state = advance(state, *step, keep=keep)
+        if state.seq % every == 0:
+            state = compact(state, keep)
+    return state

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.orphans import OrphanState, advance, references, snapshot
+from ..operators.orphans import INDEX, LINKS, OrphanState, advance, references, snapshot
+from ..session import cut
 
 
 def lines(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -45,17 +46,23 @@ def windowed_counts(feed: DataFrame, time: str, window: str, late: str, *by: str
 
 def orphan_feed(feed: DataFrame, fields: dict[str, str], parents: Callable[[], tuple[DataFrame, DataFrame]], store: str, checkpoint: str) -> StreamingQuery:
     """Keeps the state of orphan references for a stream of links. parents gives the rows that arrived and were
-    removed since the last batch. Each batch reads version n-1 of the state and writes version n, so that a
-    repeated batch gives the same state."""
+    removed since it was asked last; a batch writes them down before it uses them, so that a repeated batch has
+    the same ones. Batch n appends its part to the logs of the state as version n, which a repeated batch
+    replaces."""
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        from ..operators.orphans import empty_state
-
-        state = empty_state(spark) if n == 0 else OrphanState(spark.read.parquet(f"{store}/{n - 1}/index"), spark.read.parquet(f"{store}/{n - 1}/links"))
-        came, gone = parents()
-        state = advance(state, references(df, fields), came, gone)
-        state.index.write.mode("overwrite").parquet(f"{store}/{n}/index")
-        state.links.write.mode("overwrite").parquet(f"{store}/{n}/links")
-        snapshot(OrphanState(state.index, spark.read.parquet(f"{store}/{n}/links"))).write.mode("overwrite").parquet(f"{store}/{n}/counts")
+
+        def logs(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(*[f"{store}/{i}/{name}" for i in range(n)]) if n else spark.createDataFrame([], schema)
+
+        came, gone = f"{store}/{n}/came", f"{store}/{n}/gone"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{gone}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            for part, path in zip(parents(), (came, gone)):
+                part.write.mode("overwrite").parquet(path)
+        state = advance(OrphanState(logs("index", INDEX), logs("links", LINKS), n), references(df, fields), spark.read.parquet(came), spark.read.parquet(gone), keep=cut)
+        for log, name in ((state.index_log, "index"), (state.link_log, "links")):
+            log.where(F.col("seq") == n + 1).write.mode("overwrite").parquet(f"{store}/{n}/{name}")
+        snapshot(state).write.mode("overwrite").parquet(f"{store}/{n}/counts")
 
     return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
