@@ -207,7 +207,7 @@ def _keys(kind: str, first: list[str], rest: list[str]) -> list[tuple[str, str,
             continue
         for i in range(max(1, len(f) - SUFFIX + 1)):
             s = f[i:]
-            out.add((s, f"{s}|{g[:1]}", f"{s}|{g[:1]}|{f[:2]}", f, NICK.get(g, g)))
+            out |= {(s, f"{s}|{g[:1]}", f"{s}|{g[:1]}|{f[:2]}", f, w) for w in (g, NICK.get(g, g))}
         for w in {g, NICK.get(g, g)}:
             if len(w) > 1:
                 for i in range(max(1, len(w) - SUFFIX + 1)):
@@ -231,18 +231,22 @@ def _near(w):
     return F.array_distinct(F.concat(F.array(w), one, two))
 
 
-def hot_pairs(left: DataFrame) -> DataFrame:
-    """(a, b) of forms under common keys whose names, family and given, are alike. left: form, f, g."""
-    d = left.select("form", "f", "g").distinct()
+def hot_pairs(left: DataFrame, common: int = COMMON) -> DataFrame:
+    """(a, b) of forms under common keys: of one family and given names alike, of families alike and one given
+    name, of a family that few forms have and one alike with the same letter, and of initials with whom they may
+    stand for. left: form, f, g."""
+    d = cut(left.select("form", "f", "g").distinct())
     key = lambda x, y: F.concat_ws("|", x, y)
-    keys = F.concat(F.transform(_near(F.col("f")), lambda x: key(x, F.col("g"))), F.transform(_near(F.col("g")), lambda y: key(F.col("f"), y)),
-                    F.flatten(F.transform(_near(F.col("f")), lambda x: F.transform(_near(F.col("g")), lambda y: key(x, y)))))
+    keys = F.concat(F.transform(_near(F.col("f")), lambda x: key(x, F.col("g"))), F.transform(_near(F.col("g")), lambda y: key(F.col("f"), y)))
     k = d.select("form", F.explode(F.array_distinct(keys)).alias("key")).distinct()
-    names = k.select("key", F.col("form").alias("a")).join(k.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b")
-    # a form of initials meets whoever it may stand for: there are few of them to a family name
+    out = k.select("key", F.col("form").alias("p")).join(k.select("key", F.col("form").alias("q")), "key").where("p < q").select("p", "q")
     letter = d.select("form", "f", F.substring("g", 1, 1).alias("i"), (F.length("g") < 2).alias("short"))
-    short = letter.where("short").select("f", "i", F.col("form").alias("p")).join(letter.select("f", "i", F.col("form").alias("q")), ["f", "i"]).where("p <> q")
-    return names.unionAll(short.select(F.least("p", "q"), F.greatest("p", "q"))).distinct()
+    few = letter.groupBy("f", "i").agg(F.count_distinct("form").alias("n")).where(F.col("n") <= common).select("f", "i")
+    near = letter.select("form", "f", "i", F.explode(_near(F.col("f"))).alias("x")).distinct()
+    out = out.unionAll(near.join(few, ["f", "i"], "left_semi").select("x", "i", F.col("form").alias("p")).join(near.select("x", "i", F.col("form").alias("q")), ["x", "i"]).select("p", "q"))
+    # there are few forms of initials to a family name
+    out = out.unionAll(letter.where("short").select("f", "i", F.col("form").alias("p")).join(letter.select("f", "i", F.col("form").alias("q")), ["f", "i"]).select("p", "q"))
+    return out.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 FORM = "kind string, first array<string>, rest array<string>"
@@ -278,7 +282,7 @@ def similar_forms(distinct: DataFrame, common: int = COMMON) -> DataFrame:
         left = cut(judged.where("NOT ok").select("form", "k0", "k1", "k2", "f", "g"))
     chosen = cut(chosen.distinct())
     discard(*kept)
-    pairs = chosen.select("key", F.col("form").alias("a")).join(chosen.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b").unionAll(hot_pairs(left)).distinct()
+    pairs = chosen.select("key", F.col("form").alias("a")).join(chosen.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b").unionAll(hot_pairs(left, common)).distinct()
 
     def name(batches: Iterator) -> Iterator:
         for b in batches:
