@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio, indel_ratio_udf, may_reach
+from ..functions.similarity import indel_ratio_udf, may_reach
 from ..session import cut
 from .graph import components
 from .tabular import block_pairs, filled
@@ -147,37 +147,38 @@ def transfer_set(pairs: DataFrame, owner: str, value: str, merged: DataFrame) ->
     return relink(pairs.select(F.col(value), F.col(owner)), value, owner, merged).select(owner, value)
 
 
-def greedy_leaders(df: DataFrame, block: str, key: str, threshold: float, id_: str = "id") -> DataFrame:
-    """(id, leader): in the order of ids of a block, a row joins the first leader whose key is alike, else it
-    leads. Sequential by definition; a task handles one block, whose size the caller's blocking bounds."""
-    def run(pdf):
-        leaders: list[tuple[int, str]] = []
-        out = []
-        for i, k in sorted(zip(pdf["id"], pdf["k"])):
-            hit = next((l for l, x in leaders if indel_ratio(k, x) >= threshold), None)
-            if hit is None:
-                leaders.append((i, k))
-            out.append((i, i if hit is None else hit))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    d = df.where(filled(F.col(key))).select(F.col(id_).alias("id"), F.col(key).alias("k"), F.coalesce(F.col(block).cast("string"), F.lit("")).alias("block"))
-    return d.groupBy("block").applyInPandas(run, "id bigint, leader bigint")
+def rare_grams(df: DataFrame, key: str, threshold: float, indel: bool = True, id_: str = "id") -> DataFrame:
+    """(id, gram): so many of a string's rarest grams that any two strings which reach the threshold - of the indel
+    ratio, else of Levenshtein's similarity - share one of them. Grams are of three letters, of which an edit changes
+    three at most, and of two below an indel ratio of 0.88; thresholds go down to 0.67."""
+    n, size = F.length("k"), 2 if indel and threshold < 0.88 else 3
+    most = n * F.lit((2 - threshold) / threshold if indel else 1 / threshold)  # of a string that may be like it
+    edits = F.floor((n + most if indel else most) * F.lit(1 - threshold) + 1e-9).cast("int")
+    d = df.select(F.col(id_).alias("id"), F.col(key).alias("k")).where("k <> ''")
+    padded = F.concat(F.lit("\x02"), F.col("k"), F.lit("\x03"))
+    g = d.select("id", (size * edits + 1).alias("take"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n + 3 - size), lambda i: F.substring(padded, i, F.lit(size))))).alias("gram"))
+    counts = g.groupBy("gram").agg(F.count("*").alias("n"))
+    own = g.join(counts, "gram").groupBy("id", "take").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))  # a string's own grams
+    return own.select("id", F.explode(F.slice("g", F.lit(1), F.col("take"))).alias("g")).select("id", "g.gram")
+
+
+def like_pairs(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, x, y, score), a < b: strings of one block whose indel ratio reaches the threshold. keys: id, k, block.
+    Candidates share a rare gram; no pair is lost and none of one block is made without need."""
+    g = rare_grams(keys, "k", threshold).join(keys.select("id", "block"), "id")
+    p = g.select("block", "gram", F.col("id").alias("a")).join(g.select("block", "gram", F.col("id").alias("b")), ["block", "gram"]).where("a < b").select("a", "b").distinct()
+    both = p.join(keys.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(keys.select(F.col("id").alias("b"), F.col("k").alias("y")), "b")
+    room = ((F.length("x") + F.length("y")) * F.lit(1 - threshold) + 1e-9).cast("int")
+    return similar_pairs(both.where((F.abs(F.length("x") - F.length("y")) <= room) & (F.call_function("levenshtein", F.col("x"), F.col("y"), room) >= 0)), "x", "y", threshold)
 
 
-def leaders_without_blocks(df: DataFrame, key: str, threshold: float, id_: str = "id") -> DataFrame:
-    """(id, leader) as by greedy_leaders over all rows in one block. All like pairs of distinct keys are found
-    first, through lengths that allow the ratio and a bounded distance, both exact; a task then handles a component
-    of like keys, as no key of another one can lead it. Quadratic in the distinct keys of near lengths."""
-    rows = df.where(filled(F.col(key))).select(F.col(id_).alias("id"), F.col(key).alias("k"))
-    keys = cut(rows.groupBy("k").agg(F.min("id").alias("id")).withColumn("n", F.length("k")))
-    most = F.floor(F.col("n") * F.lit((2 - threshold) / threshold) + 1e-9).cast("int")  # of the longer key
-    short = keys.select(F.col("id").alias("p"), F.col("k").alias("x"), F.explode(F.sequence(F.col("n"), most)).alias("n"))
-    pairs = short.join(keys.select(F.col("id").alias("q"), F.col("k").alias("y"), "n"), "n").where((F.length("x") < F.length("y")) | (F.col("p") < F.col("q")))
-    room = ((F.length("x") + F.length("y")) * F.lit(1 - threshold) + 1e-9).cast("int")
-    like = similar_pairs(pairs.where(F.call_function("levenshtein", F.col("x"), F.col("y"), room) >= 0), "x", "y", threshold)
-    like = cut(like.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
+def greedy_leaders(df: DataFrame, block: str | None, key: str, threshold: float, id_: str = "id") -> DataFrame:
+    """(id, leader): in the order of ids of a block, a row joins the first leader whose key is alike, else it
+    leads; without a block over all rows. All like pairs of distinct keys are found first; a task then handles a
+    component of like keys, as no key of another one can lead it."""
+    rows = df.where(filled(F.col(key))).select(F.col(id_).alias("id"), F.col(key).alias("k"), (F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")).alias("block"))
+    keys = cut(rows.groupBy("k", "block").agg(F.min("id").alias("id")))
+    like = cut(like_pairs(keys, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def run(pdf):
         import pandas as pd
@@ -192,7 +193,7 @@ def leaders_without_blocks(df: DataFrame, key: str, threshold: float, id_: str =
 
     of = components(like).withColumnRenamed("id", "u")
     led = like.join(of, "u").groupBy("component").applyInPandas(run, "first bigint, leader bigint")
-    first = rows.join(keys.select("k", F.col("id").alias("first")), "k").select("id", "first")
+    first = rows.join(keys.select("k", "block", F.col("id").alias("first")), ["k", "block"]).select("id", "first")
     return first.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
@@ -201,7 +202,7 @@ def titled_clusters(df: DataFrame, threshold: float, block: list[str], authors:
     if authors are given, of which a pair of authors is; a row without authors agrees with any.
     df: id, title, block columns; authors: id, name."""
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in block])
-    p = similar_pairs(block_pairs(df.where(filled(F.col("title"))).withColumn("block", key), "id", "block", "title"), "x_title", "y_title", threshold).select("a", "b")
+    p = like_pairs(cut(df.where(filled(F.col("title"))).select("id", F.col("title").alias("k"), key.alias("block"))), threshold).select("a", "b")
     if authors is not None:
         n = authors.where(filled(F.col("name"))).select("id", "name").distinct()
         both = p.join(n.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(n.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
@@ -222,42 +223,73 @@ def hosts_part(a: Column, b: Column, ratio: Column, threshold: float = 0.2) -> C
     return filled(a) & filled(b) & (ratio < threshold) & ~(a.contains(b) | b.contains(a))
 
 
+def _inside(df: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(id, gram) of all stretches of `least` letters of a title, and of the rarest of each: who holds a title as a
+    part holds its rarest stretch."""
+    n = F.length("title")
+    every = df.where(n >= least).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (least - 1)), lambda i: F.substring("title", i, F.lit(least))))).alias("gram"))
+    counts = every.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = every.join(counts, "gram").groupBy("id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return every, rarest
+
+
 def permissive_pairs(df: DataFrame, ratio: Callable[[Column, Column], Column] = native_ratio) -> DataFrame:
     """(a, b): rows with a year and a host against those of the same or the next year; the others - the
-    catch-all - against every row that shares a word of its title, which any match does."""
-    main = df.where("year IS NOT NULL").where(filled(F.col("host")))
-    rest = df.where(F.col("year").isNull() | ~filled(F.col("host")))
-    x = main.select(F.col("id").alias("a"), F.col("title").alias("x"), F.col("host").alias("hx"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
-    y = main.select(F.col("id").alias("b"), F.col("title").alias("y"), F.col("host").alias("hy"), "year")
-    p = x.join(y, "year").where("a < b").where(~hosts_part(F.col("hx"), F.col("hy"), ratio(F.col("hx"), F.col("hy")))).where(titles_match(F.col("x"), F.col("y")))
-    words = lambda d: d.select("id", F.explode(F.array_distinct(F.split("title", " "))).alias("w"), "title").where("w <> ''")
-    c = words(rest).select("w", F.col("id").alias("p"), F.col("title").alias("x")).join(words(df).select("w", F.col("id").alias("q"), F.col("title").alias("y")), "w").where("p <> q").where(titles_match(F.col("x"), F.col("y")))
-    return p.select("a", "b").unionAll(c.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
+    catch-all - against every row that shares a word of its title. Candidates share a rare gram, or one's
+    rarest stretch is in the other; each is compared once, titles first."""
+    df = cut(df.select("id", "year", "title", "host", (F.col("year").isNotNull() & filled(F.col("host"))).alias("main")))
+    where = df.select("id", "year", "main")
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        x, y = left.join(where, "id"), right.join(where, "id")
+        years = x.where("main").select("gram", F.col("id").alias("p"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
+        dated = years.join(y.where("main").select("gram", F.col("id").alias("q"), "year"), ["gram", "year"]).select("p", "q")
+        loose = x.where("NOT main").select("gram", F.col("id").alias("p")).join(y.select("gram", F.col("id").alias("q")), "gram").select("p", "q")
+        other = x.where("main").select("gram", F.col("id").alias("p")).join(y.where("NOT main").select("gram", F.col("id").alias("q")), "gram").select("p", "q")
+        return dated.unionAll(loose).unionAll(other)
+
+    grams = cut(rare_grams(df, "title", 0.85, indel=False))
+    every, rarest = _inside(df)
+    p = meet(grams, grams).unionAll(meet(rarest, every)).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    side = lambda i, t: df.select(F.col("id").alias(i), *[F.col(c).alias(t + c) for c in ("title", "host", "main")])
+    p = p.join(side("a", "x"), "a").join(side("b", "y"), "b").where(titles_match(F.col("xtitle"), F.col("ytitle")))
+    main = F.col("xmain") & F.col("ymain")
+    words = F.arrays_overlap(F.split("xtitle", " "), F.split("ytitle", " "))
+    return p.where(F.when(main, ~hosts_part(F.col("xhost"), F.col("yhost"), ratio(F.col("xhost"), F.col("yhost")))).otherwise(words)).select("a", "b")
 
 
 def aggressive(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(id, kept): rows by length of title (then id); one is dropped where a kept row of its year, or without
     year, has a title alike, and hosts equal where both are given. Dated rows are settled in each year,
-    then undated rows among themselves and against the dated ones that were kept."""
+    then undated rows among themselves and against the dated ones that were kept. Like titles are found first; a
+    task settles a component of them."""
+    d = cut(df.where(filled(F.col("title"))).select("id", F.col("title").alias("k"), F.coalesce("host", F.lit("")).alias("h"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("block")))
+    hosts = lambda p: p.join(d.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(d.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b").where("ha = '' OR hb = '' OR ha = hb")
+    like = cut(hosts(like_pairs(d, threshold)).select("a", "b", F.length("x").alias("na"), F.length("y").alias("nb")))
+
     def settle(pdf):
         import pandas as pd
 
-        kept: list[tuple[str, str]] = []
-        out = []
-        for _, i, t, h in sorted(zip(pdf["t"].str.len(), pdf["id"], pdf["t"], pdf["h"])):
-            same = any((not h or not x or h == x) and indel_ratio(t, k) >= threshold for k, x in kept)
-            if not same:
-                kept.append((t, h))
-            out.append((i, not same))
-        return pd.DataFrame(out, columns=["id", "kept"])
-
-    d = df.where(filled(F.col("title"))).select("id", F.col("title").alias("t"), F.coalesce("host", F.lit("")).alias("h"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("y"))
-    first = d.groupBy("y").applyInPandas(settle, "id bigint, kept boolean")
-    dated = d.where("y <> ''").join(first.where("kept").select("id"), "id", "left_semi")
-    loose = d.where("y = ''").join(first.where("kept").select("id"), "id", "left_semi")
-    words = lambda x, i: x.select(F.col("id").alias(i), F.col("t").alias("t" + i), F.col("h").alias("h" + i), F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
-    p = words(loose, "a").join(words(dated, "b"), "w").where("ha = '' OR hb = '' OR ha = hb").select("a", "b", "ta", "tb").distinct()
-    gone = similar_pairs(p, "ta", "tb", threshold).select(F.col("a").alias("id")).distinct().withColumn("gone", F.lit(True))
+        size, near = {}, {}
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["na"], pdf["nb"]):
+            size[a], size[b] = x, y
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        kept: dict[int, bool] = {}
+        for i in sorted(size, key=lambda i: (size[i], i)):
+            kept[i] = not any(kept.get(j, False) for j in near[i])
+        return pd.DataFrame(list(kept.items()), columns=["id", "kept"])
+
+    of = components(like.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "a")
+    settled = like.join(of, "a").groupBy("component").applyInPandas(settle, "id bigint, kept boolean")
+    first = cut(d.join(settled, "id", "left").select("id", "k", "h", "block", F.coalesce("kept", F.lit(True)).alias("kept")))
+    # undated rows against the dated ones that were kept
+    stay = first.where("kept")
+    g = rare_grams(stay, "k", threshold)
+    loose, dated = stay.where("block = ''"), stay.where("block <> ''")
+    p = g.join(loose.select("id"), "id", "left_semi").select("gram", F.col("id").alias("a")).join(g.join(dated.select("id"), "id", "left_semi").select("gram", F.col("id").alias("b")), "gram").select("a", "b").distinct()
+    p = hosts(p).join(d.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(d.select(F.col("id").alias("b"), F.col("k").alias("y")), "b")
+    gone = similar_pairs(p, "x", "y", threshold).select(F.col("a").alias("id")).distinct().withColumn("gone", F.lit(True))
     return first.join(gone, "id", "left").select("id", (F.col("kept") & F.col("gone").isNull()).alias("kept"))
 
 

@@ -172,7 +172,7 @@ def chapter_clusters(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "reference").where(O.filled(F.col("secondary_title")) & ~F.col("secondary_title").rlike("(?i)annal|speculum|object|bridgeman|american historical") & ~F.col("title").rlike("(?i)intro|preface|prologue|epilogue|abbrevia|conclu|index|appendix|rezension|review|droit"))
     r = r.select("id", T.ascii_key(F.col("title")).alias("k"), T.ascii_key(F.col("secondary_title")).alias("host"))
     r = r.withColumn("number", T.chapter_number(F.col("k"))).withColumn("title", T.without_chapter(F.col("k")))
-    return R.suggestions(R.titled_clusters(r.join(R.leaders_without_blocks(r, "host", 0.8), "id"), 0.9, ["leader", "number"]))
+    return R.suggestions(R.titled_clusters(r.join(R.greedy_leaders(r, None, "host", 0.8), "id"), 0.9, ["leader", "number"]))
 
 
 _NR = "1 - levenshtein({a}, {b})::double / greatest(length({a}), length({b}))"

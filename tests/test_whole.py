@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from palimpsest.functions.similarity import indel_ratio
 from palimpsest.operators import graph as G
 from palimpsest.operators import models as M
 from palimpsest.operators import resolve as R
@@ -94,19 +95,67 @@ def test_like_hosts_may_begin_otherwise(spark, monkeypatch):
     assert {r.id for r in got} == {1, 2, 3}
 
 
-def test_leaders_without_blocks_are_those_of_one_block(spark):
-    import random
-
-    rnd = random.Random(5)
-    bases = ["".join(rnd.choices("abcde ", k=rnd.randint(3, 14))) for _ in range(12)]
-    rows = []
-    for i in range(1, 160):
+def strings(rnd, n):
+    bases = ["".join(rnd.choices("abcde ", k=rnd.randint(3, 14))).strip() or "a" for _ in range(12)]
+    out = []
+    for _ in range(n):
         k = list(rnd.choice(bases))
         for _ in range(rnd.randint(0, 3)):
             k[rnd.randrange(len(k))] = rnd.choice(["", "x", "ab"])
-        rows.append((i, "".join(k), ""))
+        out.append("".join(k).strip() or "b")
+    return out
+
+
+@pytest.mark.parametrize("block", [None, "block"])
+def test_leaders_are_those_of_the_sequential_rule(spark, block):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, k, str(rnd.randint(0, 2))) for i, k in enumerate(strings(rnd, 160), 1)]
+    want, leaders = set(), {}
+    for i, k, b in rows:
+        known = leaders.setdefault(b if block else "", [])
+        hit = next((l for l, x in known if indel_ratio(k, x) >= 0.8), None)
+        if hit is None:
+            known.append((i, k))
+        want.add((i, i if hit is None else hit))
     d = spark.createDataFrame(rows, "id bigint, k string, block string")
-    assert sorted(R.leaders_without_blocks(d, "k", 0.8).collect()) == sorted(R.greedy_leaders(d, "block", "k", 0.8).collect())
+    assert {tuple(r) for r in R.greedy_leaders(d, block, "k", 0.8).collect()} == want
+
+
+def test_like_pairs_lose_none(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(i, k, str(i % 2)) for i, k in enumerate(strings(rnd, 120))]
+    got = {(r.a, r.b) for r in R.like_pairs(spark.createDataFrame(rows, "id bigint, k string, block string"), 0.75).collect()}
+    assert got == {(i, j) for (i, x, b), (j, y, c) in combinations(rows, 2) if b == c and indel_ratio(x, y) >= 0.75} and len(got) > 100
+
+
+def test_aggressive_is_the_sequential_rule(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([None, 1990, 1991]), t, rnd.choice([None, "", "h", "g"])) for i, t in enumerate(strings(rnd, 150))]
+
+    def settle(part, kept):
+        out = []
+        for i, _, t, h in sorted(part, key=lambda r: (len(r[2]), r[0])):
+            if not any((not h or not x or h == x) and indel_ratio(t, k) >= 0.8 for _, k, x in kept):
+                kept.append((i, t, h))
+                out.append(i)
+        return out
+
+    stay, dated = set(), []
+    for y in (1990, 1991):
+        kept = []
+        stay |= set(settle([r for r in rows if r[1] == y], kept))
+        dated += kept
+    mine = []
+    settle([r for r in rows if r[1] is None], mine)
+    stay |= {i for i, t, h in mine if not any((not h or not x or h == x) and indel_ratio(t, k) >= 0.8 for _, k, x in dated)}
+    d = spark.createDataFrame(rows, "id bigint, year int, title string, host string")
+    assert {r.id for r in R.aggressive(d, 0.8).where("kept").collect()} == stay
 
 
 def test_authors_enter_the_largest_component_in_a_year(spark, monkeypatch):
