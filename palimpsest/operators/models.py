@@ -172,8 +172,8 @@ def topic_words(model, vocabulary: list[str], top: int = 20) -> DataFrame:
 def coherence(df: DataFrame, doc: str, topics: DataFrame, window: int = 110, token: str = "token") -> DataFrame:
     """(topic, c_v): mean cosine of each top word's vector of normalised pointwise mutual information with the
     sum of the topic's vectors, over boolean sliding windows. topics: topic, term. Windows start at every
-    token; documents shorter than a window are one. The
-    vector of a word that is in every window is 0; it has no cosine and isn't part of the mean. Only tokens of topics are kept before windows are built."""
+    token; documents shorter than a window are one. A word in every window goes with itself wholly (1) and with
+    others as chance has it (0). Only tokens of topics are kept before windows are built."""
     wanted = F.broadcast(topics.select(F.col("term").alias(token)).distinct())  # topics x top words
     length = df.groupBy(doc).agg(F.max("at").alias("last"))
     hits = df.join(wanted, token).select(doc, token, "at").join(length, doc)
@@ -186,7 +186,7 @@ def coherence(df: DataFrame, doc: str, topics: DataFrame, window: int = 110, tok
     t = t.join(pair, ["a", "b"], "left").join(single.select(F.col(token).alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col(token).alias("b"), F.col("n").alias("nb")), "b", "left").crossJoin(F.broadcast(total))  # one row
     e = 1e-12
     p = F.coalesce("nab", F.lit(0)) / F.col("N")
-    npmi = F.log((p + e) / (F.col("na") / F.col("N") * F.col("nb") / F.col("N") + e)) / -F.log(p + e)
+    npmi = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.try_divide(F.log((p + e) / (F.col("na") / F.col("N") * F.col("nb") / F.col("N") + e)), -F.log(p + e)))
     v = t.select("topic", "a", "b", F.coalesce(npmi, F.lit(0.0)).alias("x"))
     s = v.groupBy("topic", "b").agg(F.sum("x").alias("y"))
     c = v.join(s, ["topic", "b"]).groupBy("topic", "a").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("c"))

@@ -238,19 +238,21 @@ def permissive_pairs(df: DataFrame, ratio: Callable[[Column, Column], Column] =
     catch-all - against every row that shares a word of its title. Candidates share a rare gram, or one's
     rarest stretch is in the other; each is compared once, titles first."""
     df = cut(df.select("id", "year", "title", "host", (F.col("year").isNotNull() & filled(F.col("host"))).alias("main")))
-    where = df.select("id", "year", "main")
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        x, y = left.join(where, "id"), right.join(where, "id")
-        years = x.where("main").select("gram", F.col("id").alias("p"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
-        dated = years.join(y.where("main").select("gram", F.col("id").alias("q"), "year"), ["gram", "year"]).select("p", "q")
-        loose = x.where("NOT main").select("gram", F.col("id").alias("p")).join(y.select("gram", F.col("id").alias("q")), "gram").select("p", "q")
-        other = x.where("main").select("gram", F.col("id").alias("p")).join(y.where("NOT main").select("gram", F.col("id").alias("q")), "gram").select("p", "q")
-        return dated.unionAll(loose).unionAll(other)
+    where = df.select("id", "year", "main", F.length("title").alias("n"))
+
+    def meet(left: DataFrame, right: DataFrame, near: bool) -> DataFrame:
+        x, y = left.join(where, "id").select("gram", F.col("id").alias("p"), "year", "main", F.col("n").alias("np")), right.join(where, "id").select("gram", F.col("id").alias("q"), "year", "main", F.col("n").alias("nq"))
+        years = x.where("main").withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
+        dated = years.drop("main").join(y.where("main").drop("main"), ["gram", "year"])
+        loose = x.where("NOT main").drop("main", "year").join(y.drop("main", "year"), "gram")
+        other = x.where("main").drop("main", "year").join(y.where("NOT main").drop("main", "year"), "gram")
+        long, short = F.greatest("np", "nq"), F.least("np", "nq")
+        fits = (long - short <= long * F.lit(0.15) + 1e-9) if near else F.col("np") <= F.col("nq")
+        return dated.drop("year").unionByName(loose).unionByName(other).where(fits).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
     grams = cut(rare_grams(df, "title", 0.85, indel=False))
     every, rarest = _inside(df)
-    p = meet(grams, grams).unionAll(meet(rarest, every)).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    p = meet(grams, grams, True).unionAll(meet(rarest, every, False)).distinct()
     side = lambda i, t: df.select(F.col("id").alias(i), *[F.col(c).alias(t + c) for c in ("title", "host", "main")])
     p = p.join(side("a", "x"), "a").join(side("b", "y"), "b").where(titles_match(F.col("xtitle"), F.col("ytitle")))
     main = F.col("xmain") & F.col("ymain")

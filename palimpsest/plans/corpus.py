@@ -23,12 +23,21 @@ _LEM = "lem AS (SELECT doc_id, year, lower(lemma) AS term FROM tok WHERE regexp_
 _WORD = "word AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents)"
 
 
+# English stop words.
+STOP_WORDS = (
+    "about", "above", "after", "again", "against", "all", "also", "and", "any", "are", "because", "been", "before", "being", "below", "between", "both", "but", "can", "did", "does", "doing", "down", "during", "each", "few", "for", "from", "further",
+    "had", "has", "have", "having", "her", "here", "hers", "herself", "him", "himself", "his", "how", "into", "its", "itself", "just", "may", "more", "most", "nor", "not", "now", "off", "once", "one", "only", "other", "our", "ours", "out", "over", "own",
+    "same", "she", "should", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "too", "under", "until", "very", "was", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
+)
+_LEM = _LEM[:-1] + " AND lower(lemma) NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
+
+
 def toks(spark: SparkSession, d: str) -> DataFrame:
     return L.tokens(table(spark, d, "corpus_propre"), "lexical_features", "doc_id", "year")
 
 
 def lemmas(spark: SparkSession, d: str) -> DataFrame:
-    return L.content(toks(spark, d).where("pos IS NOT NULL")).withColumn("term", F.lower("lemma"))
+    return L.content(toks(spark, d).where("pos IS NOT NULL"), stop=STOP_WORDS).withColumn("term", F.lower("lemma"))
 
 
 def doc_words(spark: SparkSession, d: str) -> DataFrame:
@@ -76,11 +85,11 @@ def tfidf_top20(spark: SparkSession, d: str) -> DataFrame:
     return O.top_k(t, 20, [F.desc("tfidf"), F.col("term")], "doc_id")
 
 
-@query(f"""WITH {_WORD}, c AS (SELECT lang, token, count(*) AS n FROM word WHERE lang IN ('en', 'fr', 'de', 'es', 'it') GROUP BY 1, 2), s AS (SELECT lang, sum(n) AS size FROM c GROUP BY 1), f AS (SELECT token, sum(n) AS f FROM c GROUP BY 1 HAVING sum(n) >= 5),
+@query(f"""WITH {_WORD}, c AS (SELECT lang, token, count(*) AS n FROM word WHERE lang IS NOT NULL GROUP BY 1, 2), s AS (SELECT lang, sum(n) AS size FROM c GROUP BY 1), f AS (SELECT token, sum(n) AS f FROM c GROUP BY 1 HAVING sum(n) >= 5),
 r AS (SELECT lang, token, round(n::double / size * ln(1 + (SELECT avg(size) FROM s) / f), 7) AS score FROM c JOIN s USING (lang) JOIN f USING (token))
 SELECT lang, token, score FROM r QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, token) <= 15""")
 def class_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    w = doc_words(spark, d).where(F.col("lang").isin("en", "fr", "de", "es", "it"))
+    w = doc_words(spark, d).where("lang IS NOT NULL")
     s = L.class_tfidf(L.frequencies(w, "token", "lang"), "lang", "token", 5).withColumn("score", F.round("score", 7))
     return O.top_k(s, 15, [F.desc("score"), F.col("token")], "lang").drop("rank")
 
@@ -169,16 +178,16 @@ def dtm_and_coverage(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("running", O.running_sum("tokens", "y"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, 'The exa- mple of a co- py in ' || coalesce(lang, 'x') AS t FROM documents) SELECT doc_id, replace(replace(t, 'exa- mple', 'example'), 'co- py', 'copy') AS text FROM d""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'the\s*author', 'theauthor', 'g'), 'of\s*the', 'ofthe', 'g'), 'la\s*région', 'larégion', 'g') AS text FROM documents WHERE text IS NOT NULL""")
 def merge_fold_text(spark: SparkSession, d: str) -> DataFrame:
-    m = F.array(F.struct(F.lit("exa-").alias("t1"), F.lit("mple").alias("t2"), F.lit("example").alias("merged")), F.struct(F.lit("co-").alias("t1"), F.lit("py").alias("t2"), F.lit("copy").alias("merged")))
-    t = F.concat(F.lit("The exa- mple of a co- py in "), F.coalesce("lang", F.lit("x")))
-    return table(spark, d, "documents").select("doc_id", T.merge_text(t, m).alias("text"))
+    """Decided merges, made in the texts of all documents."""
+    m = F.array(*[F.struct(F.lit(x).alias("t1"), F.lit(y).alias("t2"), F.lit(x + y).alias("merged")) for x, y in (("the", "author"), ("of", "the"), ("la", "région"))])
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.merge_text(F.col("text"), m).alias("text"))
 
 
-@query("SELECT doc_id, '**** *YEAR_' || coalesce(year, '') || ' *DOC_' || left(replace(trim(regexp_replace(coalesce(title, ''), '[\\r\\n\\t]+', ' ', 'g')), ' ', '_'), 50) || chr(10) || coalesce(n_tokens::varchar, '') || chr(10) AS entry FROM corpus_propre")
+@query("SELECT doc_id, '**** *YEAR_' || coalesce(year, '') || ' *DOC_' || left(replace(trim(regexp_replace(coalesce(title, ''), '[\\r\\n\\t]+', ' ', 'g')), ' ', '_'), 50) || chr(10) || coalesce(array_to_string(list_transform(lexical_features, lambda f: f.token), ' '), '') || chr(10) AS entry FROM corpus_propre")
 def iramuteq_entries(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "corpus_propre").withColumn("text", F.col("n_tokens").cast("string"))
+    c = table(spark, d, "corpus_propre").withColumn("text", F.array_join(F.transform("lexical_features", lambda f: f["token"]), " "))
     return c.select("doc_id", L.iramuteq(c).alias("entry"))
 
 
@@ -396,6 +405,24 @@ def lda_topics(spark: SparkSession, d: str) -> DataFrame:
     return M.topic_words(model, vocabulary, 10).withColumn("beta", F.round("beta", 6))
 
 
+_FIXED = ((0, ("author", "question", "identity")), (1, ("land", "treaty", "frontier")), (2, ("century", "grave", "author")))
+
+
+@query(f"""WITH {_TOK}, ft AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w}')" for i, ws in _FIXED for w in ws)}) v(topic, term)), w AS (SELECT DISTINCT term FROM ft),
+t AS (SELECT doc_id, pl, lower(lemma) AS term FROM tok WHERE lemma IS NOT NULL), len AS (SELECT doc_id, max(pl) AS last FROM t GROUP BY 1), tot AS (SELECT sum(greatest(1, last - 108)) AS n FROM len),
+win AS (SELECT DISTINCT doc_id, term, unnest(range(least(greatest(0, pl - 109), greatest(0, least(pl, last - 109))), greatest(0, least(pl, last - 109)) + 1)) AS w FROM t JOIN len USING (doc_id) WHERE term IN (SELECT term FROM w)),
+one AS (SELECT term, count(*) AS n FROM win GROUP BY 1), two AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM win x JOIN win y USING (doc_id, w) GROUP BY 1, 2),
+v AS (SELECT x.topic, x.term AS a, y.term AS b, CASE WHEN x.term = y.term THEN 1.0::double ELSE coalesce(ln((coalesce(two.n, 0)::double / tot.n + 1e-12) / (oa.n::double / tot.n * ob.n::double / tot.n + 1e-12)) / -ln(coalesce(two.n, 0)::double / tot.n + 1e-12), 0) END AS x
+  FROM ft x JOIN ft y ON x.topic = y.topic CROSS JOIN tot LEFT JOIN two ON two.a = x.term AND two.b = y.term LEFT JOIN one oa ON oa.term = x.term LEFT JOIN one ob ON ob.term = y.term),
+s AS (SELECT topic, b, sum(x) AS y FROM v GROUP BY 1, 2)
+SELECT topic, round(avg(c), 6) AS c_v FROM (SELECT topic, a, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS c FROM v JOIN s USING (topic, b) GROUP BY 1, 2) GROUP BY 1""")
+def fixed_topic_coherence(spark: SparkSession, d: str) -> DataFrame:
+    """c_v of given topics, which SQL can follow."""
+    topics = spark.createDataFrame([(i, w) for i, ws in _FIXED for w in ws], "topic int, term string")
+    t = toks(spark, d).select("doc_id", "at", F.lower("lemma").alias("token")).where("token IS NOT NULL")
+    return M.coherence(t, "doc_id", topics).withColumn("c_v", F.round("c_v", 6))
+
+
 @query()
 def topic_coherence(spark: SparkSession, d: str) -> DataFrame:
     model, vocabulary, _ = M.lda(_documents(spark, d), "doc_id", "terms", 5, passes=20)

@@ -23,16 +23,9 @@ def key_sql(c: str) -> str:
     return _KEY.format(c=c)
 
 
-def latin(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "authors").where(F.col("NomComplet").rlike(r"^[\x20-\x7EÀ-ÿ]+$"))
-
-
-_LATIN = r"regexp_matches(NomComplet, '^[\x20-\x7E\x{00C0}-\x{00FF}]+$')"
-
-
-@query(f"SELECT key, count(*) AS members, min(id) AS keep FROM (SELECT id, {key_sql('NomComplet')} AS key FROM authors WHERE {_LATIN}) WHERE key <> '' GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT key, count(*) AS members, min(id) AS keep FROM (SELECT id, {key_sql('NomComplet')} AS key FROM authors WHERE NomComplet IS NOT NULL) WHERE key <> '' GROUP BY 1 HAVING count(*) > 1")
 def exact_normalized_dups(spark: SparkSession, d: str) -> DataFrame:
-    return R.exact_groups(latin(spark, d).withColumn("key", T.name_key(F.col("NomComplet"))), "key")
+    return R.exact_groups(table(spark, d, "authors").withColumn("key", T.name_key(F.col("NomComplet"))), "key")
 
 
 _INFO = " + ".join(f"(coalesce(trim({c}::varchar), '') <> '')::int" for c in ("title", "secondary_title", "year", "issn", "volume", "number", "publisher", "abstract"))
@@ -54,13 +47,13 @@ def issn_groups(spark: SparkSession, d: str) -> DataFrame:
     return R.exact_groups(table(spark, d, "reference").where("issn IS NOT NULL").withColumn("key", T.issn_key(F.col("issn"))), "key")
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT id, list_sort(string_split({key_sql('NomComplet')}, ' ')) AS w FROM authors WHERE {_LATIN}),
+@query(f"""WITH RECURSIVE n AS (SELECT id, list_sort(string_split({key_sql('NomComplet')}, ' ')) AS w FROM authors WHERE NomComplet IS NOT NULL),
 s AS (SELECT id, array_to_string(list_filter(w, lambda x: length(x) > 1), ' ') AS m, array_to_string(w, ' ') AS f FROM n),
 p AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.m = b.m AND a.id < b.id AND length(a.m) >= 4 AND a.f <> '' AND b.f <> '' AND 1 - levenshtein(a.f, b.f)::double / greatest(length(a.f), length(b.f)) >= 0.85)
 SELECT a, b FROM p""".replace("WITH RECURSIVE", "WITH"))
 def token_signature_pairs(spark: SparkSession, d: str) -> DataFrame:
     k = T.name_key(F.col("NomComplet"))
-    s = latin(spark, d).select("id", k.alias("k")).select("id", T.minimal_signature(F.col("k")).alias("minimal"), T.full_signature(F.col("k")).alias("full"))
+    s = table(spark, d, "authors").select("id", k.alias("k")).select("id", T.minimal_signature(F.col("k")).alias("minimal"), T.full_signature(F.col("k")).alias("full"))
     p = O.block_pairs(s.where(F.length("minimal") >= 4), "id", "minimal", "full")
     return p.where(R.native_ratio(F.col("x_full"), F.col("y_full")) >= 0.85).select("a", "b")
 
@@ -73,13 +66,13 @@ def token_signature_clusters(spark: SparkSession, d: str) -> DataFrame:
     return R.suggestions(R.signature_clusters(s))
 
 
-_PARTS = f"SELECT id, {key_sql('Nom')} AS f, {key_sql('Prenom')} AS g FROM authors WHERE {_LATIN} AND Nom IS NOT NULL AND Prenom IS NOT NULL"
+_PARTS = f"SELECT id, {key_sql('Nom')} AS f, {key_sql('Prenom')} AS g FROM authors WHERE Nom IS NOT NULL AND Prenom IS NOT NULL"
 
 
 @query(f"""WITH n AS ({_PARTS}) SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.f = b.f AND a.id < b.id AND a.f <> '' AND a.g <> '' AND b.g <> ''
 WHERE (length(a.g) < 3 AND starts_with(b.g, a.g)) OR (length(b.g) < 3 AND starts_with(a.g, b.g))""")
 def initials_match(spark: SparkSession, d: str) -> DataFrame:
-    n = latin(spark, d).where("Nom IS NOT NULL AND Prenom IS NOT NULL").select("id", T.name_key(F.col("Nom")).alias("family"), T.name_key(F.col("Prenom")).alias("given"))
+    n = table(spark, d, "authors").where("Nom IS NOT NULL AND Prenom IS NOT NULL").select("id", T.name_key(F.col("Nom")).alias("family"), T.name_key(F.col("Prenom")).alias("given"))
     p = O.block_pairs(n.where("family <> '' AND given <> ''"), "id", "family", "given")
     return p.where(T.initial_match(F.col("x_given"), F.col("y_given"))).select("a", "b")
 
@@ -278,11 +271,9 @@ def html_lang_priority(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", page.alias("page")).select("doc_id", T.html_language(F.col("page")).alias("language"), T.html_text(F.col("page")).alias("plain"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, 'see <https://x.org/doi/10.1234/a' || doc_id || '> and doi: 10.5555/b.' || doc_id || ' -' AS t FROM documents)
-SELECT doc_id, regexp_extract(t, '(10\.\d{4,}/[\w.();:/\-]+)', 1) AS doi FROM d""")
+@query(r"""SELECT doc_id, nullif(regexp_extract(text, '(10\.\d{4,}/[\w.();:/\-]+)', 1), '') AS doi FROM documents WHERE text IS NOT NULL""")
 def extract_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("see <https://x.org/doi/10.1234/a"), F.col("doc_id"), F.lit("> and doi: 10.5555/b."), F.col("doc_id"), F.lit(" -"))
-    return table(spark, d, "documents").select("doc_id", T.extract_doi(t).alias("doi"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.extract_doi(F.col("text")).alias("doi"))
 
 
 @query()
