@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import corpus, entities, orphan_links, series
+    from . import corpus, entities, linkage, orphan_links, series
 
-    return [series, entities, corpus, orphan_links]
+    return [series, entities, linkage, corpus, orphan_links]
 
 
 def queries() -> dict:

@@ -75,15 +75,16 @@ def sieve(df: DataFrame, column: str, most: int = 1 << 22) -> Callable[[Column],
 
 
 def partitions(df: DataFrame, copies: int = 1, each: int = 64 << 20) -> int:
-    """A number of partitions that follows the bytes of df (what a cut wrote, else what the plan reads) times
+    """A number of partitions that follows the bytes of df (what a cut wrote, else what the plan's leaves hold) times
     `copies`, and gives every core some work."""
     files = getattr(df, "_files", None)
     if files is not None and files.isDefined():
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files.get())
         size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     else:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        size = 0 if size >= 1 << 60 else size  # not known
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # a join is estimated at the product of its sides
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        size = sum(x for x in sizes if x < 1 << 60)  # else not known
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, copies * size // each + 1)
 
 
