@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 INDEX = "target string, key bigint, present boolean, listed boolean, added timestamp, seq int"
 LINKS = "id bigint, target string, field string, key bigint, at timestamp, state string, was string, seq int"
 
@@ -70,7 +72,7 @@ def _state() -> Column:
     return F.when(present & late, "late").when(present, "ok").when(F.coalesce(F.col("listed"), F.lit(False)), "deleted").otherwise("missing")
 
 
-def advance(state: OrphanState, links: DataFrame, parents: DataFrame, removed: DataFrame, keep=lambda df: df) -> OrphanState:
+def advance(state: OrphanState, links: DataFrame, parents: DataFrame, removed: DataFrame, keep=cut) -> OrphanState:
     """The state after one increment. links: as references() gives them; parents: target, key, added;
     removed: target, key. keep cuts the lineage of what the increment adds."""
     seq = state.seq + 1
@@ -109,7 +111,7 @@ def _changes(links: DataFrame) -> DataFrame:
     return links.where("was IS NULL OR was <> state").select("seq", "field", month, change).where("c.state IS NOT NULL AND c.state <> 'ok'").groupBy("seq", "field", "month", "c.state").agg(F.sum("c.d").alias("d"))
 
 
-def compact(state: OrphanState, keep=lambda df: df) -> OrphanState:
+def compact(state: OrphanState, keep=cut) -> OrphanState:
     """The same state with the last versions only, so that logs of many increments are read as one."""
     counted = _changes(state.link_log)
     if state.counted is not None:
@@ -152,7 +154,7 @@ def increments(links: DataFrame, parents: DataFrame, removed: DataFrame, cuts: l
     return [(part(links, "at", a, b), part(parents, "added", a, b), part(removed, "removed_at", a, b).select("target", "key")) for a, b in zip(edges, edges[1:])]
 
 
-def replay(spark: SparkSession, steps: list[tuple], keep=lambda df: df, every: int = 6) -> OrphanState:
+def replay(spark: SparkSession, steps: list[tuple], keep=cut, every: int = 6) -> OrphanState:
     """All increments one after the other; keep cuts the lineage between them, and once in `every` increments
     the logs are compacted."""
     state = empty_state(spark)

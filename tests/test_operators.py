@@ -239,3 +239,48 @@ def test_feed_resumes(spark, tmp_path):
     (src / "2.json").write_text('{"k": 2}\n{"k": 3}\n')
     run()
     assert sorted(tuple(r) for r in spark.read.parquet(out).select("k", "v").collect()) == [(1, 2), (2, 4), (3, 6)]
+
+
+def test_orphan_history(spark):
+    """An arrival resolves a link that waits, a removal reopens it, a return resolves it again; the counts of every
+    increment stay as they were, compacted or not."""
+    t = datetime.datetime
+    L = spark.createDataFrame([(1, "p", "f", 7, t(2024, 1, 5)), (2, "p", "f", 8, t(2024, 1, 6))], "id long, target string, field string, key long, at timestamp")
+    A = spark.createDataFrame([("p", 7, None)], "target string, key long, added timestamp")
+    D = A.select("target", "key")
+    none = lambda d: d.limit(0)
+    steps = [(L, none(A), none(D)), (none(L), A, none(D)), (none(L), none(A), D), (none(L), A, none(D))]
+    want = {(1, "missing", 2), (2, "missing", 1), (3, "missing", 1), (3, "deleted", 1), (4, "missing", 1)}
+    for every in (2, 9):
+        s = P.replay(spark, steps, every=every)
+        assert {(r.seq, r.state, r.n) for r in P.history(s).collect()} == want
+        assert {(r.id, r.state) for r in P.orphans(s).collect()} == {(2, "missing")}
+
+
+def test_orphan_feed_repeats_a_batch(spark, tmp_path, monkeypatch):
+    from palimpsest.streaming import feeds
+
+    folder, schema = tmp_path / "in", "id long, author_id long, date_added timestamp"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id": 1, "author_id": 7, "date_added": "2024-01-05T00:00:00"}\n')
+    arrivals = [[("authors", 9, None)], [("authors", 7, None)], [("authors", 8, None)]]
+    asked = []
+
+    def parents():
+        came = spark.createDataFrame(arrivals[len(asked)], "target string, key long, added timestamp")
+        asked.append(1)
+        return came, came.select("target", "key").limit(0)
+
+    def run():
+        feeds.orphan_feed(feeds.lines(spark, str(folder), schema), {"author_id": "authors"}, parents, str(tmp_path / "store"), str(tmp_path / "at")).awaitTermination()
+
+    run()
+    (folder / "b.json").write_text('{"id": 2, "author_id": 8, "date_added": "2024-01-06T00:00:00"}\n')
+    whole = feeds.snapshot
+    monkeypatch.setattr(feeds, "snapshot", lambda s: 1 / 0)  # the second batch fails behind its parents
+    with pytest.raises(Exception, match="division"):
+        run()
+    monkeypatch.setattr(feeds, "snapshot", whole)
+    run()
+    links = spark.read.parquet(*[str(tmp_path / "store" / str(i) / "links") for i in (0, 1)])
+    assert len(asked) == 2 and {(r.id, r.state, r.seq) for r in links.collect()} == {(1, "missing", 1), (1, "ok", 2), (2, "missing", 2)}

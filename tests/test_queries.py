@@ -8,7 +8,9 @@ from palimpsest import plans
 
 from .compare import check, duck
 
-SLOW = {"katz", "eigenvector", "lcc_entry_years"}
+SLOW = {  # run over fixtures in test_whole
+    "katz", "eigenvector", "lcc_entry_years",
+}
 
 
 @pytest.fixture(scope="module")
@@ -23,4 +25,4 @@ def test_sql(spark, con, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql()) - SLOW))
 def test_runs(spark, data, name):
-    assert plans.queries()[name](spark, data).count() >= 0
+    plans.queries()[name](spark, data).write.format("noop").mode("overwrite").save()  # every column, not just a count
