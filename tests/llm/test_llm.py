@@ -377,5 +377,5 @@ def test_edit_distance():
 
 
 def test_all_queries_run(spark, data):
-    for name, q in queries.QUERIES.items():
-        assert q(spark, data).count() >= 0, name
+    for q in queries.QUERIES.values():
+        q(spark, data).write.format("noop").mode("overwrite").save()
