@@ -18,6 +18,7 @@ as they occur; ties between texts of one size are broken by a hash of the id, th
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,7 +26,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, partitions, spread
 from . import bpe
 
 Kind = tuple[int, list[tuple[int, int]]]  # how many containers, and (size, items) in each
@@ -137,8 +138,14 @@ def _counters(names: list[str], files: dict[str, bytes]) -> list:
     def counter(name: str):
         raw = files[name]
         if name.startswith("byte_"):
-            b = bpe.ready(raw)
-            return lambda texts: [len(b.encode(t)) for t in texts]
+            try:  # only numbers of tokens are needed; the public library's are those of our encoder
+                import tiktoken
+            except ImportError:
+                b = bpe.ready(raw)
+                return lambda texts: [len(b.encode(t)) for t in texts]
+            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x)}
+            e = tiktoken.Encoding(name, pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return lambda texts: [len(x) for x in e.encode_ordinary_batch(texts, num_threads=1)]
         if name.startswith("piece_"):
             import sentencepiece
 
@@ -182,11 +189,12 @@ def token_counts(docs: DataFrame, tokenizers: list[str], folder: str | None = No
 KNOWN = ("byte_bpe_50k", "byte_bpe_multi_50k", "piece_bpe_32k", "word_bpe_49k")
 
 
-def pack(docs: DataFrame, kinds: DataFrame, folder: str | None = None, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, kinds: DataFrame, folder: str | None = None, salts: int | None = None) -> DataFrame:
     """(conteneur_id, doc_id, piece, container, position, start, end): piece `piece` of a text, its tokens
     start to end (excluded), stands at `position` of container number `container`. kinds is a small
-    table of settings."""
+    table of settings. salts: blocks of one size, else as many as the documents' bytes ask for."""
     spark = docs.sparkSession
+    salts = salts or max(64, 4 * partitions(docs.select("doc_id", "text")))
     rows = [r for r in kinds.select("conteneur_id", "tokenizer", "capacite").distinct().collect() if r.capacite and r.capacite > 0 and r.tokenizer in KNOWN]
     if not rows:
         return spark.createDataFrame([], "conteneur_id int, doc_id bigint, piece int, container bigint, position int, start int, end int")
