@@ -298,6 +298,31 @@ def centrality_gini(spark: SparkSession, d: str) -> DataFrame:
     return S.gini(G.degrees(coauthors(spark, d)), "degree").withColumn("gini", F.round("gini", 6))
 
 
+@query(f"""WITH RECURSIVE {_LINK}, {_CO}, {_CC}, big AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), k AS (SELECT id, count(*)::double AS degree FROM (SELECT u AS id FROM co UNION ALL SELECT v FROM co) GROUP BY 1),
+y AS (SELECT a AS id, min(year)::double AS entry FROM link JOIN reference r ON r.id = p WHERE year IS NOT NULL GROUP BY 1), m AS (SELECT id, entry, degree FROM cc JOIN big USING (component) JOIN k USING (id) JOIN y USING (id)),
+s AS (SELECT 'all' AS part, entry, degree FROM m UNION ALL SELECT 'top', entry, degree FROM m WHERE degree >= (SELECT quantile_cont(degree, 0.99) FROM m)),
+r AS (SELECT part, rank() OVER (PARTITION BY part ORDER BY entry) + (count(*) OVER (PARTITION BY part, entry) - 1) / 2.0::double AS x, rank() OVER (PARTITION BY part ORDER BY degree) + (count(*) OVER (PARTITION BY part, degree) - 1) / 2.0::double AS y FROM s)
+SELECT part, count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS rho FROM r GROUP BY 1""")
+def entry_year_centrality(spark: SparkSession, d: str) -> DataFrame:
+    """Spearman's correlation of the first year of publication and the degree of the authors in the largest
+    component, of all and of those in the top hundredth."""
+    l, e = links(spark, d), cut(coauthors(spark, d))
+    lcc = G.largest_component(G.components(e))
+    y = l.where("year IS NOT NULL").groupBy(F.col("author_id").alias("id")).agg(F.min("year").cast("double").alias("entry"))
+    m = cut(G.degrees(e).select("id", F.col("degree").cast("double").alias("degree")).join(lcc, "id", "left_semi").join(y, "id").select("entry", "degree"))
+    top = m.join(F.broadcast(m.agg(F.percentile("degree", F.lit(0.99)).alias("q"))), F.col("degree") >= F.col("q")).select("entry", "degree")  # one row
+    part = lambda x, name: S.spearman(x, ["entry", "degree"], p=False).select(F.lit(name).alias("part"), "n", F.round(F.when(~F.isnan("rho"), F.col("rho")), 6).alias("rho"))
+    return part(m, "all").unionAll(part(top, "top"))
+
+
+@query()
+def lcc_diameter(spark: SparkSession, d: str) -> DataFrame:
+    """(members, diameter) of the largest component: its largest eccentricity. Tested in pytest."""
+    e = cut(coauthors(spark, d))
+    lcc = G.largest_component(G.components(e))
+    return G.path_centralities(e).join(lcc, "id", "left_semi").agg(F.count("*").alias("members"), F.max("eccentricity").alias("diameter"))
+
+
 # statistics
 
 @query("""WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS k, sum(n) OVER () AS total FROM c), e AS (SELECT *, r * k::double / total AS e FROM t)
@@ -441,6 +466,17 @@ def topic_assignment(spark: SparkSession, d: str) -> DataFrame:
     return L.assign_topics(g).select("vec_id", "major", F.array_join("topics", ",").alias("topics"))
 
 
+@query()
+def gamma_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """(topic, dominant, mean, entropy): documents that a topic dominates, its mean share, and the mean entropy of
+    these documents."""
+    _, _, gamma = M.lda(_documents(spark, d), "doc_id", "terms", 4, passes=30)
+    long = gamma.select("doc_id", F.posexplode("gamma").alias("topic", "g"))
+    h = S.entropy(long, "doc_id", "g", 4)
+    major = long.groupBy("doc_id").agg(F.max(F.struct("g", (-F.col("topic")).alias("t")))["t"].alias("t")).select("doc_id", (-F.col("t")).alias("topic")).join(h, "doc_id").groupBy("topic").agg(F.count("*").alias("dominant"), F.avg("entropy").alias("entropy"))
+    return long.groupBy("topic").agg(F.avg("g").alias("mean")).join(major, "topic", "left").select("topic", F.coalesce("dominant", F.lit(0)).alias("dominant"), F.round("mean", 6).alias("mean"), F.round("entropy", 6).alias("entropy"))
+
+
 @query()
 def yearly_presence(spark: SparkSession, d: str) -> DataFrame:
     _, _, gamma = M.lda(_documents(spark, d), "doc_id", "terms", 4, passes=30)

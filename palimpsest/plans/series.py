@@ -364,3 +364,25 @@ def hash_split_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT id, CASE WHEN lower(trim(PPN_IDREF)) IN ('', 'na', 'nan', 'none', 'null', 'inconnu', 'unknown', 'undetermined', 'n/a', '-', '?') OR regexp_matches(trim(PPN_IDREF), '^[0\\s.-]+$') THEN NULL ELSE trim(PPN_IDREF) END AS value FROM authors""".replace("\\\\", "\\"))
 def identifier_presence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "authors").select("id", present(F.col("PPN_IDREF")).alias("value"))
+
+
+@query("""WITH c AS (SELECT coalesce(nullif(trim(language), ''), 'Inconnu') AS label, count(*) AS n FROM reference GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, label LIMIT 9)
+SELECT label, n FROM t WHERE label <> 'Inconnu' ORDER BY n DESC, label LIMIT 8""")
+def top9_minus_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """The nine most frequent labels, of these the first eight that are known: the order of the two steps matters."""
+    c = table(spark, d, "reference").groupBy(F.coalesce(F.nullif(F.trim("language"), F.lit("")), F.lit("Inconnu")).alias("label")).agg(F.count("*").alias("n"))
+    return c.orderBy(F.desc("n"), "label").limit(9).where("label <> 'Inconnu'").orderBy(F.desc("n"), "label").limit(8)
+
+
+@query("SELECT COLUMNS(lambda c: NOT starts_with(c, 'date_')) FROM reference")
+def projection_by_prefix(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reference")
+    return r.select(*[c for c in r.columns if not c.startswith("date_")])
+
+
+@query("""WITH v AS (SELECT doc_id, lower(left(lang, 2)) AS a, CASE WHEN doc_id % 5 = 0 THEN 'fr' ELSE lower(left(lang, 2)) END AS b FROM documents WHERE lang IS NOT NULL)
+SELECT CASE WHEN a = b THEN 'agreed' ELSE 'conflict' END AS source, count(*) AS n, round(100.0::double * count(*) / sum(count(*)) OVER (), 6) AS share FROM v GROUP BY 1""")
+def agreement_tally(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "documents").where("lang IS NOT NULL").select(F.lower(F.substring("lang", 1, 2)).alias("a"), F.when(F.col("doc_id") % 5 == 0, "fr").otherwise(F.lower(F.substring("lang", 1, 2))).alias("b"))
+    t = v.groupBy(F.when(F.col("a") == F.col("b"), "agreed").otherwise("conflict").alias("source")).agg(F.count("*").alias("n"))
+    return t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("_t")))).select("source", "n", F.round(100 * F.col("n") / F.col("_t"), 6).alias("share"))  # one row

@@ -53,6 +53,11 @@ def test_katz_is_the_dense_one(spark, monkeypatch, two_cliques):
     assert {r.katz for r in G.katz(corpus.coauthors(spark, ""), rounds=10).collect()} == {0.0}  # not settled
 
 
+def test_diameter_of_the_largest_component(spark, monkeypatch, two_cliques):
+    monkeypatch.setattr(corpus, "coauthors", lambda s, d: s.createDataFrame(two_cliques, "u bigint, v bigint, weight bigint"))
+    assert tuple(corpus.lcc_diameter(spark, "").first()) == (19, 8)  # 32 or 6, 2, 7, 10, 11, 12, 21, 26, 30
+
+
 def test_centralities_of_no_edges(spark):
     d = spark.createDataFrame([], "u bigint, v bigint, weight bigint")
     assert G.eigenvector(d).count() == 0 and G.katz(d).count() == 0
