@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -41,9 +41,11 @@ def _grow(sym: DataFrame, beta: float, level: int, steps: int = 3) -> DataFrame:
     u = (F.pmod(F.xxhash64("v", F.lit(level)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     state = sym.select(F.col("a").alias("v")).distinct().select("v", (F.log(u) / beta).alias("score"), F.col("v").alias("centre"), F.lit(True).alias("moved"))
     while True:
+        older = state
         for _ in range(steps):
             state = _relax(sym, state)
         state = cut(state)
+        discard(older)
         if state.where("moved").isEmpty():
             return state.select("v", "centre")
 
@@ -56,11 +58,12 @@ def low_diameter(edges: DataFrame, beta: float = 0.2, max_levels: int = 60) -> D
             raise RuntimeError("the decomposition did not end; raise max_levels")
         at = _grow(sym, beta, len(levels))
         levels.append(at)
-        sym = cut(
+        older, sym = sym, cut(
             sym.join(at.select(F.col("v").alias("a"), F.col("centre").alias("ca")), "a")
             .join(at.select(F.col("v").alias("b"), F.col("centre").alias("cb")), "b")
             .where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         )
+        discard(older)
     if not levels:
         return edges.sparkSession.createDataFrame([], "id bigint, group_id bigint")
     # from the last level down: the super-vertices of a level are vertices of the next, if they still have edges
@@ -81,7 +84,8 @@ def alternating_stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = sym.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b").where("a <> b").distinct()
-        e = cut(small)
+        older, e = e, cut(small)
+        discard(older)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break
