@@ -125,7 +125,7 @@ def decide(candidates: DataFrame, places: DataFrame, pairs: DataFrame, doc: str)
 
 def general_merges(decided: DataFrame) -> DataFrame:
     """(t1, t2, merged): the most frequent merge of each pair, ties by text; a capital inside a word is left out."""
-    n = decided.groupBy("t1", "t2", "merged").agg(F.count("*").alias("n")).where(~F.substring("merged", 2, 1000).rlike(r"\p{Lu}"))
+    n = decided.groupBy("t1", "t2", "merged").agg(F.count("*").alias("n")).where(~F.col("merged").substr(F.lit(2), F.length("merged")).rlike(r"\p{Lu}"))
     best = n.groupBy("t1", "t2").agg(F.min(F.struct(-F.col("n"), F.col("merged"))).alias("b"))
     return best.select("t1", "t2", "b.merged")
 

@@ -73,7 +73,8 @@ def marc_fields(record: Column) -> Column:
 
 def subfields(value: Column) -> Column:
     """array of struct(code, text) of a field."""
-    parts = F.slice(F.split(value, "\x1f"), 2, 1000)
+    every = F.split(value, "\x1f")
+    parts = F.slice(every, F.lit(2), F.greatest(F.lit(0), F.size(every) - 1))
     return F.transform(F.filter(parts, lambda p: F.length(p) > 0), lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.trim(p.substr(F.lit(2), F.length(p))).alias("text")))
 
 

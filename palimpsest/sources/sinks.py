@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def three_forms(df: DataFrame, path: str, caption: str = "") -> None:
-    """CSV, JSON and LaTeX of a small result table (the result of an aggregate, not rows of a corpus)."""
+def three_forms(df: DataFrame, path: str, caption: str = "", most: int = 1000) -> None:
+    """CSV, JSON and LaTeX of a small result table (the result of an aggregate, not rows of a corpus). A table of
+    more than `most` rows is no page of a document: it raises, nothing is left out."""
+    rows = [tuple(r) for r in df.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a LaTeX table")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
     df.coalesce(1).write.mode("overwrite").json(f"{path}.json")
-    one = df.sparkSession.createDataFrame([(latex(df.columns, [tuple(r) for r in df.limit(1000).collect()], caption),)], "value string")
+    one = df.sparkSession.createDataFrame([(latex(df.columns, rows, caption),)], "value string")
     one.coalesce(1).write.mode("overwrite").text(f"{path}.tex")
 
 
