@@ -76,27 +76,29 @@ def advance(state: OrphanState, links: DataFrame, parents: DataFrame, removed: D
     """The state after one increment. links: as references() gives them; parents: target, key, added;
     removed: target, key. keep cuts the lineage of what the increment adds."""
     seq = state.seq + 1
-    came = parents.select("target", "key", F.lit(True).alias("came"), F.lit(False).alias("gone"), F.col("added"))
-    went = removed.select("target", "key", F.lit(False).alias("came"), F.lit(True).alias("gone"), F.lit(None).cast("timestamp").alias("added"))
-    delta = (
-        came.unionByName(went).where("key IS NOT NULL").groupBy("target", "key")
-        .agg(F.max("came").alias("came"), F.max("gone").alias("gone"), F.min("added").alias("came_at"))
-    )
-    no = F.lit(False)
-    fresh = links.dropDuplicates(["id", "field"]).select("id", "target", "field", "key", "at", F.lit(None).cast("string").alias("was"))
-    asked = delta.select("target", "key", "came", "gone", "came_at", F.lit(True).alias("touched")).join(fresh.select("target", "key").distinct(), ["target", "key"], "full")
-    before = _last(state.index_log.join(asked.select("target", "key"), ["target", "key"], "left_semi"), "target", "key").drop("seq")
-    known = asked.join(before, ["target", "key"], "left").select(
-        "target", "key", F.coalesce("touched", no).alias("touched"),
-        F.coalesce(F.col("came") | (F.coalesce("present", no) & ~F.col("gone")), F.col("present")).alias("present"),
-        (F.coalesce("listed", no) | F.coalesce("gone", no)).alias("listed"),
-        F.when(F.col("came") & F.coalesce("present", no), F.least("added", "came_at")).when(F.col("came"), F.col("came_at")).otherwise(F.col("added")).alias("added"),
+    null = lambda t: F.lit(None).cast(t)
+    no, yes, never = F.lit(False), F.lit(True), null("timestamp")
+
+    def said(df: DataFrame, came: Column, gone: Column, at: Column) -> DataFrame:
+        return df.select("target", "key", came.alias("came"), gone.alias("gone"), at.alias("came_at"), null("boolean").alias("present"), null("boolean").alias("listed"), never.alias("added"), null("int").alias("seq"))
+
+    # what the increment says of a key and what the index knows of it meet in one aggregation; joins of each with
+    # each would make plans that fill the driver
+    known = said(parents, yes, no, F.col("added")).unionByName(said(removed, no, yes, never)).unionByName(said(links, no, no, never))
+    known = known.unionByName(state.index_log.select("target", "key", no.alias("came"), no.alias("gone"), never.alias("came_at"), "present", "listed", "added", "seq")).where("key IS NOT NULL")
+    known = known.groupBy("target", "key").agg(
+        F.max("came").alias("came"), F.max("gone").alias("gone"), F.min("came_at").alias("came_at"), F.max(F.col("seq").isNull()).alias("asked"),
+        F.coalesce(F.max_by("present", "seq"), no).alias("present"), F.coalesce(F.max_by("listed", "seq"), no).alias("listed"), F.max_by("added", "seq").alias("added"),
+    ).where("asked").select(
+        "target", "key", (F.col("came") | F.col("gone")).alias("touched"), (F.col("came") | (F.col("present") & ~F.col("gone"))).alias("present"), (F.col("listed") | F.col("gone")).alias("listed"),
+        F.when(F.col("came") & F.col("present"), F.least("added", "came_at")).when(F.col("came"), F.col("came_at")).otherwise(F.col("added")).alias("added"),
     )
-    touched = delta.select("target", "key")
-    again = _last(state.link_log.join(touched, ["target", "key"], "left_semi"), "id", "field").select("id", "target", "field", "key", "at", F.col("state").alias("was"))
-    judged = fresh.unionByName(again).join(known, ["target", "key"], "left").select("id", "target", "field", "key", "at", _state().alias("state"), "was").where("was IS NULL OR was <> state")
+    # new links, and of the links under touched keys the last version
+    probes = links.select("id", "target", "field", "key", "at", null("string").alias("was"), null("int").alias("seq")).unionByName(state.link_log.select("id", "target", "field", "key", "at", F.col("state").alias("was"), "seq"))
+    met = probes.join(known, ["target", "key"], "left").where("seq IS NULL OR touched")
+    last = met.groupBy("id", "field", F.col("seq").isNull().alias("fresh")).agg(F.max_by(F.struct("target", "key", "at", "was", "present", "listed", "added"), F.coalesce("seq", F.lit(0))).alias("v"))
+    judged = last.select("id", "field", "v.*").select("id", "target", "field", "key", "at", _state().alias("state"), "was").where("was IS NULL OR was <> state")
     # both logs grow by one result, so that an increment is one job
-    null = lambda t: F.lit(None).cast(t)
     rows = known.where("touched").select("target", "key", "present", "listed", "added", null("bigint").alias("id"), null("string").alias("field"), null("timestamp").alias("at"), null("string").alias("state"), null("string").alias("was"))
     rows = keep(rows.unionByName(judged.select("target", "key", null("boolean").alias("present"), null("boolean").alias("listed"), null("timestamp").alias("added"), "id", "field", "at", "state", "was")).withColumn("seq", F.lit(seq)))
     return OrphanState(
