@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from palimpsest import session
+from palimpsest.llm import names
 from palimpsest.operators import orphans as P
 
 
@@ -25,3 +28,46 @@ def test_increment_has_a_small_plan(spark):
 
     P.replay(spark, P.increments(links, parents, removed, t[:3]), keep=keep)
     assert len(seen) == 4 and max(seen) <= 8, seen
+
+
+def files(spark) -> set[str]:
+    """The shuffle files on the disks of this session."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p.name for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_cut_deletes_what_it_shuffled(spark):
+    """The rows stay when the files of the shuffle are gone."""
+    before = files(spark)
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    out = session.cut(df)
+    for _ in range(50):  # the files are deleted in the background
+        if not files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not files(spark) - before
+    assert sorted(r.n for r in out.collect()) == [142, 143, 143, 143, 143, 143, 143] == sorted(r.n for r in df.collect())
+
+
+def runs(monkeypatch, module) -> list[int]:
+    """Shuffles of each run that the module cuts: their files are on the disks together."""
+    seen = []
+
+    def cut(df):
+        out = session.cut(df)
+        plan = df._jdf.queryExecution().executedPlan()
+        seen.append(plan.context().shuffleIds().size() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else 0)
+        return out
+
+    monkeypatch.setattr(module, "cut", cut)
+    return seen
+
+
+def test_meetings_of_names_are_runs_of_their_own(spark, monkeypatch):
+    """Pairs from the index and each kind of pair under common keys don't lie on the disks together."""
+    given = ["jean", "jeanne", "paul", "paula", "j", "p", "marie", "anne"]
+    rows = [(i, "person", [f"dupont{'elstv'[i % 5]}"], [given[i % 8]]) for i in range(80)]
+    d = spark.createDataFrame(rows, f"form long, {names.FORM}")
+    seen = runs(monkeypatch, names)
+    assert names.similar_forms(d, 3).count() > 0
+    assert max(seen) <= 8, seen
