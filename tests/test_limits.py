@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from palimpsest import session
-from palimpsest.llm import names
+from palimpsest.llm import names, near_duplicates
 from palimpsest.operators import orphans as P
 
 
@@ -71,3 +71,23 @@ def test_meetings_of_names_are_runs_of_their_own(spark, monkeypatch):
     seen = runs(monkeypatch, names)
     assert names.similar_forms(d, 3).count() > 0
     assert max(seen) <= 8, seen
+
+
+def test_bands_go_in_waves(spark, monkeypatch):
+    """The rows of all bands are never on the disks together, pairs of every band are found, and what the waves wrote
+    is deleted."""
+    titles = [f"les fouilles de {w} et de {v} au moyen age" for w in ("corinthe", "delphes", "argos", "thasos") for v in ("delos", "naxos", "paros")]
+    rows = [(i, t if i < 12 else t.replace("fouilles", "fouiles"), "", 1990, "1", "2", "") for i, t in enumerate(titles * 2)]
+    d = spark.createDataFrame(rows, "id long, title string, secondary_title string, year int, start_page string, volume string, doi string")
+    real, made, most = near_duplicates.met, [], []
+
+    def met(keyed, *rest):
+        most.append(keyed.groupBy("id").count().agg(F.max("count")).first()[0])
+        made.append(real(keyed, *rest))
+        return made[-1]
+
+    monkeypatch.setattr(near_duplicates, "met", met)
+    found = {(r.a, r.b) for r in near_duplicates.matches(d)[1].collect()}
+    assert {(i, i + 12) for i in range(12)} <= found
+    assert sum(most) == near_duplicates.BANDS and max(most) <= near_duplicates.BANDS // 4, most
+    assert all(m._files is None for m in made)
