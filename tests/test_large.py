@@ -5,7 +5,11 @@ from __future__ import annotations
 import random
 import uuid
 
+from pyspark.sql import functions as F
+
+from palimpsest.functions.similarity import indel_ratio
 from palimpsest.operators import graph as G
+from palimpsest.operators import resolve as R
 
 
 def jobs(spark, run):
@@ -107,3 +111,26 @@ def test_katz_takes_few_jobs(spark, monkeypatch):
     monkeypatch.setattr(G, "ONE", 1)
     slow = {r.id: r.katz for r in G.katz(d).collect()}
     assert got.keys() == slow.keys() and all(abs(x - slow[i]) < 1e-7 for i, x in got.items())
+
+
+def titles():
+    rnd = random.Random(11)
+    words = ["fouilles", "de", "la", "villa", "romaine", "histoire", "goths", "et", "francs", "étude", "12"]
+    out = []
+    for _ in range(60):
+        t = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 7)))
+        at = rnd.randrange(len(t))
+        out += [t, t[:at] + rnd.choice("xyz ") + t[at + 1 :], t[:at] + t[at + 1 :], t + rnd.choice(["s", " i", ""])]
+    return out
+
+
+def test_no_near_pair_is_lost(spark, monkeypatch):
+    """Cells and tiles of any size give the pairs of a comparison of all, each once, and rows of no common gram."""
+    own = [(i, t, str(i % 2)) for i, t in enumerate(titles())]
+    d = spark.createDataFrame(own, "id long, k string, block string").repartition(3)
+    for tile in (16_000, 7):
+        monkeypatch.setattr(R, "TILE", tile)
+        for threshold in (0.9, 0.7):
+            got = sorted((r.a, r.b) for r in R.like_pairs(d, threshold).collect())
+            want = sorted((a, b) for a, x, p in own for b, y, q in own if a < b and p == q and indel_ratio(x, y) >= threshold)
+            assert got == want
