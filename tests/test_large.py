@@ -134,3 +134,8 @@ def test_no_near_pair_is_lost(spark, monkeypatch):
             got = sorted((r.a, r.b) for r in R.like_pairs(d, threshold).collect())
             want = sorted((a, b) for a, x, p in own for b, y, q in own if a < b and p == q and indel_ratio(x, y) >= threshold)
             assert got == want
+    left, right = [x for x in own if x[2] == "0"], [x for x in own if x[2] == "1"]
+    sides = [spark.createDataFrame(x, "id long, k string, block string") for x in (left, right)]
+    got = sorted((r.a, r.b) for r in R.like_between(*sides, 0.85).collect())
+    all_ = sides[0].select(F.col("id").alias("a"), F.col("k").alias("x")).crossJoin(sides[1].select(F.col("id").alias("b"), F.col("k").alias("y")))
+    assert got == sorted((r.a, r.b) for r in all_.where(R.native_ratio(F.col("x"), F.col("y")) >= 0.85).collect())
