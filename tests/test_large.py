@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.similarity import indel_ratio
 from palimpsest.operators import graph as G
 from palimpsest.operators import resolve as R
+from palimpsest.operators import tabular as O
 
 
 def jobs(spark, run):
@@ -139,3 +140,18 @@ def test_no_near_pair_is_lost(spark, monkeypatch):
     got = sorted((r.a, r.b) for r in R.like_between(*sides, 0.85).collect())
     all_ = sides[0].select(F.col("id").alias("a"), F.col("k").alias("x")).crossJoin(sides[1].select(F.col("id").alias("b"), F.col("k").alias("y")))
     assert got == sorted((r.a, r.b) for r in all_.where(R.native_ratio(F.col("x"), F.col("y")) >= 0.85).collect())
+
+
+def test_shared_tokens_shuffle_no_pairs(spark, monkeypatch):
+    """No more rows are shuffled than the tokens of both sides for each tile; counts are those of all pairs."""
+    rnd = random.Random(2)
+    rows = lambda n: [(i, w) for i in range(n) for w in rnd.choices("abcdefghijkl", k=5)]
+    left, right = rows(60), [(f"r{i}", w) for i, w in rows(40)]
+    l, r = spark.createDataFrame(left, "a long, token string"), spark.createDataFrame(right, "b string, token string")
+    sets = lambda x: {i: {w for j, w in x if j == i} for i, _ in x}
+    want = sorted((a, b, len(x & y)) for a, x in sets(left).items() for b, y in sets(right).items() if len(x & y) >= 2)
+    for side in (8_000, 9):
+        monkeypatch.setattr(O, "SIDE", side)
+        d = O.shared_tokens(l, r)
+        assert sorted(map(tuple, d.collect())) == want
+        assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
